@@ -6,9 +6,10 @@ from .bpe import op3_bpe
 from .ngram_join import op4_ngram_jaccard
 from .packing import op9_packing
 from .secrets import op7_secrets
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op8_toxicity
 from .url_filter import ORACLE_SQL as URL_SQL
 from .url_filter import op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_bpe, op4_ngram_jaccard, op7_secrets, op8_toxicity, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_bpe, op4_ngram_jaccard, op5_suffix_dedup, op7_secrets, op8_toxicity, op9_packing)}
 ORACLE_SQL = {"op2_url_filters": URL_SQL}
