@@ -46,7 +46,7 @@ def byte_letters() -> dict[str, int]:
 
 
 #: Chunks that a worker keeps; later ones are encoded for their batch only.
-CACHE = 600_000
+CACHE = 250_000
 
 
 class Vocabulary:
@@ -302,7 +302,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_t
 
 
 #: Bytes of text encoded at a time.
-STEP_BYTES = 32 << 20
+STEP_BYTES = 8 << 20
 
 
 def steps(batches, most: int = STEP_BYTES):
@@ -314,6 +314,7 @@ def steps(batches, most: int = STEP_BYTES):
         while at < len(text):
             end = max(at + 1, at + int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))
             yield batch.column(0).slice(at, end - at), pa.concat_arrays([text.slice(at, end - at)])
+            pa.default_memory_pool().release_unused()
             at = end
 
 
