@@ -74,7 +74,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [c for c, u in zip(b, used) if u]
-    m, swaps = len(left), sum(x != y for x, y in zip(left, right)) / 2
+    m, swaps = len(left), sum(x != y for x, y in zip(left, right)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
