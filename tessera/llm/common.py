@@ -65,6 +65,18 @@ def text_column(batch, name: str = "text") -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
+def byte_slices(text: pa.Array, most: int = 4 << 20, rows: int = 4096):
+    """(first row, end) of consecutive texts of bounded bytes and number; a longer text is a slice of its own."""
+    size = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)) if len(text) else np.zeros(0)
+    at = 0
+    while at < len(text):
+        before = size[at - 1] if at else 0
+        end = min(max(at + 1, int(np.searchsorted(size, before + most, side="right"))), at + rows)
+        yield at, end
+        at = end
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` of all texts in a row, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, mix64, n_parts, spans_of, text_column, word_hashes, words_of
+from .common import Stored, byte_slices, mix64, n_parts, spans_of, text_column, word_hashes, words_of
 from .components import components
 
 #: Pieces that rows are dealt out in, for each partition of the shuffle.
@@ -141,8 +141,8 @@ def meetings(sets_text: DataFrame, k: int, bands: Bands) -> DataFrame:
         seen: set = set()
         for batch in batches:
             text = text_column(batch)
-            for lo in range(0, len(text), 4096):
-                s, counts = shingle_sets(text.slice(lo, 4096), k)
+            for lo, end in byte_slices(text):
+                s, counts = shingle_sets(text.slice(lo, end - lo), k)
                 keys = set_keys(s, counts)
                 fresh = np.zeros(len(counts), bool)
                 for i, key in enumerate(map(tuple, keys.tolist())):
@@ -260,10 +260,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     def light(batches):
         for batch in batches:
             text = text_column(batch)
-            for lo in range(0, max(len(text), 1), 4096):
-                s, counts = shingle_sets(text.slice(lo, 4096), k)
+            for lo, end in byte_slices(text):
+                s, counts = shingle_sets(text.slice(lo, end - lo), k)
                 keys = set_keys(s, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 4096), pa.array(counts, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, end - lo), pa.array(counts, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n", "hi", "lo"])
 
     rows = Stored(docs.mapInArrow(light, "doc_id long, n long, hi long, lo long"), "sets").df
     met = Stored(meetings(docs, k, bands), "meetings").df
@@ -275,8 +275,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     def full(batches):
         for batch in batches:
             text = text_column(batch)
-            for lo in range(0, len(text), 256):
-                part = text.slice(lo, 256)
+            for lo, end in byte_slices(text, 2 << 20, 256):
+                part = text.slice(lo, end - lo)
                 s, counts = shingle_sets(part, k)
                 at, keys = spans_of(counts), set_keys(s, counts)
                 sets = [s[a:b] for a, b in zip(at, at[1:])]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spans_of, text_column
+from .common import byte_slices, spans_of, text_column
 
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -230,7 +230,17 @@ class Tokens:
 
 
 def scan(text: pa.Array, field: Field | None) -> tuple[list[list], list[list]]:
-    """Base spans and added spans (start, end, kind) of each text."""
+    """Base spans and added spans (start, end, kind) of each text, a few megabytes at a time."""
+    base: list[list] = []
+    added: list[list] = []
+    for lo, end in byte_slices(text):
+        b, a = _scan(pa.concat_arrays([text.slice(lo, end - lo)]), field)
+        base += b
+        added += a
+    return base, added
+
+
+def _scan(text: pa.Array, field: Field | None) -> tuple[list[list], list[list]]:
     marks = flagged(text)
     base: list[list] = [[] for _ in range(len(text))]
     for k in np.flatnonzero(marks["assign"] | marks["access"] | marks["hex"]):

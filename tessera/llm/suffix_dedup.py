@@ -35,7 +35,7 @@ WINDOW = 100
 GRAM = 16
 RANKED = LENGTH - WINDOW + 1
 #: Bytes that are hashed at a time; a position fits in 24 bits.
-SLICE = 8 << 20
+SLICE = 2 << 20
 SPREAD = 4
 WHOLE, ENDS, WHOLE_ENDS = 0, 1, 2
 
