@@ -10,7 +10,7 @@ cover position is already resolved by its rank; equal surroundings are resolved
 near the ends of a match are compared by digests of their whole strings. Digests are 64 bits of polynomials over random
 byte values, two independent ones together.
 
-Rows travel packed by destination; texts are dealt out once, and those of touched documents a second time.
+Rows travel packed by destination; texts are dealt out once, by row, for the open strings and for the removal alike.
 
 Edge cases: null and empty texts have no bytes and nothing to remove; texts shorter than `LENGTH` are kept whole; strings
 never cross documents; repeated rows lose whatever they share, which is all of it from `LENGTH` bytes on; null doc_ids are
@@ -162,29 +162,33 @@ def _buckets(batches):
     yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(i0), pa.array(i0 + runs), pa.array(rank.view(np.int64)), pa.array(state)], ["rid", "i0", "i1", "rank", "state"])
 
 
-def _strings(batches):
+def _strings(name: str):
     """Digests of the whole strings at starts that are still open."""
-    for batch in batches:
-        text = text_column(batch)
-        out = [[] for _ in range(5)]
-        for k, (rid, open_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            if not open_:
-                continue
-            data = np.frombuffer(text[k].as_buffer(), np.uint8)
-            for a in range(0, len(data), SLICE):
-                mine = [r for r in open_ if a <= r["i0"] < a + SLICE]
-                if not mine:
+
+    def run(batches):
+        for batch in batches:
+            text = text_column(batch, name)
+            out = [[] for _ in range(5)]
+            for k, (rid, open_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())):
+                if not open_:
                     continue
-                part = data[a : a + SLICE + LENGTH + WINDOW]
-                x, y = Rolling(part, 0), Rolling(part, 1)
-                i0 = np.array([r["i0"] for r in mine])
-                n = np.array([r["i1"] for r in mine]) - i0 + 1
-                at = np.repeat(i0 - a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                h = x.window(at, LENGTH) ^ (y.window(at, LENGTH) >> np.uint64(7))
-                for r, piece in zip(mine, np.split(h, np.cumsum(n)[:-1])):
-                    for o, v in zip(out, (r["rank"], rid, r["i0"], r["state"] == ENDS, piece.tobytes())):
-                        o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], ["rank", "rid", "i0", "open", "h"])
+                data = np.frombuffer(text[k].as_buffer(), np.uint8)
+                for a in range(0, len(data), SLICE):
+                    mine = [r for r in open_ if a <= r["i0"] < a + SLICE]
+                    if not mine:
+                        continue
+                    part = data[a : a + SLICE + LENGTH + WINDOW]
+                    x, y = Rolling(part, 0), Rolling(part, 1)
+                    i0 = np.array([r["i0"] for r in mine])
+                    n = np.array([r["i1"] for r in mine]) - i0 + 1
+                    at = np.repeat(i0 - a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    h = x.window(at, LENGTH) ^ (y.window(at, LENGTH) >> np.uint64(7))
+                    for r, piece in zip(mine, np.split(h, np.cumsum(n)[:-1])):
+                        for o, v in zip(out, (r["rank"], rid, r["i0"], r["state"] == ENDS, piece.tobytes())):
+                            o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], ["rank", "rid", "i0", "open", "h"])
+
+    return run
 
 
 def _ends(batches):
@@ -236,28 +240,31 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     Where removal splits a character, the text has U+FFFD in place of what is left of it; the digest is of the bytes.
     """
-    spark = docs.sparkSession
-    parts = n_parts(spark)
-    rowed = with_rid(docs)
-    packed = rowed.select("rid", "text").mapInArrow(_emit(parts * SPREAD), _PACKED)
+    parts = n_parts(docs.sparkSession)
+    names = docs.columns
+    at = names.index("text")
+    wide = [f"c{k}" for k in range(len(names))]  # names of the input clash with nothing
+    rowed = with_rid(docs.toDF(*wide))
+    packed = rowed.select("rid", F.col(wide[at]).alias("text")).mapInArrow(_emit(parts * SPREAD), _PACKED)
     found = packed.repartition(parts, "part").mapInArrow(_buckets, "rid long, i0 long, i1 long, rank long, state int")
     item = F.struct("i0", "i1", "rank", "state")
-    of_doc = found.groupBy("rid").agg(
-        F.collect_list(F.when(F.col("state") != ENDS, F.struct("i0", "i1"))).alias("runs"), F.collect_list(F.when(F.col("state") != WHOLE, item)).alias("open")
-    )
-    touched = Stored(rowed.join(of_doc, "rid", "left"), "touched").df
-    strings = touched.where(F.size("open") > 0).select("rid", "text", "open").mapInArrow(_strings, "rank long, rid long, i0 long, open boolean, h binary")
+    of_doc = Stored(
+        found.groupBy("rid").agg(
+            F.collect_list(F.when(F.col("state") != ENDS, F.struct("i0", "i1"))).alias("runs"), F.collect_list(F.when(F.col("state") != WHOLE, item)).alias("open")
+        ),
+        "runs",
+    ).df
+    # both joins take the same columns of the texts, so that one exchange serves them; sides are merged, as their size follows the data
+    strings = rowed.join(of_doc.where(F.size("open") > 0).select("rid", "open").hint("merge"), "rid").select("rid", *wide, "open").mapInArrow(_strings(wide[at]), "rank long, rid long, i0 long, open boolean, h binary")
     ends = strings.repartition(parts, "rank").mapInArrow(_ends, "rid long, i0 long, i1 long").groupBy("rid").agg(F.collect_list(F.struct("i0", "i1")).alias("more"))
 
-    names = docs.columns
-    at = names.index("text")
     extra = {f.name for f in _RESULT}
     keep = [k for k, c in enumerate(names) if c not in extra]
     schema = T.StructType([docs.schema[k] for k in keep] + _RESULT)
 
     def finish(batches):
         for batch in batches:
-            text = text_column(batch)
+            text = text_column(batch, wide[at])
             new, n, spans, digest = [], [], [], []
             for k, (runs, more) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
                 data = text[k].as_py().encode()
@@ -270,9 +277,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             columns += [pa.array(n, pa.int64()), pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    quiet = touched.where("open IS NULL OR size(open) = 0").select(*names, "runs", F.lit(None).cast("array<struct<i0:bigint,i1:bigint>>").alias("more"))
-    loud = touched.where(F.size("open") > 0).join(ends, "rid", "left").select(*names, "runs", "more")
-    return quiet.unionByName(loud).mapInArrow(finish, schema)
+    marked = rowed.join(of_doc.select("rid", "runs").hint("merge"), "rid", "left").join(ends.hint("merge"), "rid", "left")
+    return marked.select(*wide, "runs", "more").mapInArrow(finish, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

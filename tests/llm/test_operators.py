@@ -202,3 +202,11 @@ def test_empty_tables(spark):
     assert lm_score.lm_scores(docs).count() == 0 and secrets.secret_spans(docs, secrets.train(docs)).count() == 0
     v = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert ann.nearest(v, F.lit(True)).count() == embedding_dedup.near_duplicates(v).count() == 0
+
+
+def test_suffix_dedup_keeps_clashing_columns(spark, tmp_path):
+    rows = [(k, "ab c" * 60 if k < 2 else f"text {k}", k, "r", "o") for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, rid long, runs string, open string").write.parquet(str(tmp_path / "d"))
+    got = sorted(suffix_dedup.suffix_dedup(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert [(r.doc_id, r.rid, r.runs, r.open) for r in got] == [(k, k, "r", "o") for k in range(4)]
+    assert [r.n_removed for r in got] == [240, 240, 0, 0]
