@@ -10,7 +10,7 @@ cap is needed.
 Classes that meet are first tested against the least class that they meet (a star, not all pairs); components of the
 links found are contracted, and only members of *different* components that still meet are compared in blocks: bitmap
 signatures bound the overlap from above (elements minus bits that the other bitmap lacks), and what survives is
-intersected exactly. So families of thousands of near copies cost links in proportion to their size.
+intersected exactly. A pair that meets more than once is taken at the least of its meetings only. So families of thousands of near copies cost links in proportion to their size.
 
 Edge cases: null, empty and blank texts have no set and no links; texts with fewer than k words are one shingle; repeated
 rows are one class and link; a null doc_id takes part, and its component is the least non-null doc_id reachable (null if
@@ -311,21 +311,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
 
 
 def _across(open_: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of members of one meeting but of different components that their sizes and bitmaps allow to link.
+    """Pairs of members of one meeting but of different components that their sizes and bitmaps allow to link, each once.
 
     A meeting is cut into blocks of `BLOCK` members; each two blocks are one group, so that a large meeting is many tasks.
+    A member carries its open meetings (at most its buckets), which tell whether this one is the least that a pair shares.
     """
-    member = open_.join(sets.select("hi", "lo", "n", "bits"), ["hi", "lo"])
+    own = open_.groupBy("hi", "lo").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    member = open_.join(own, ["hi", "lo"]).join(sets.select("hi", "lo", "n", "bits"), ["hi", "lo"])
     sized = open_.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = member.join(sized, "h").withColumn("block", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    dealt = member.withColumn("tile", F.explode(others)).select("h", "tile.i", "tile.j", "block", "hi", "lo", "n", "bits", F.xxhash64("component").alias("comp"))
+    dealt = member.withColumn("tile", F.explode(others)).select("h", "tile.i", "tile.j", "block", "hi", "lo", "n", "bits", "hs", F.xxhash64("component").alias("comp"))
 
     def compare(key, table):
         t = table.sort_by([("hi", "ascending"), ("lo", "ascending")])
         n, comp, block = (t[c].to_numpy() for c in ("n", "comp", "block"))
         hi, lo = t["hi"].to_numpy(), t["lo"].to_numpy()
         same_tile = t["i"][0].as_py() == t["j"][0].as_py()
+        h = t["h"][0].as_py()
+        hs = t["hs"].combine_chunks()
+        at, hs = hs.offsets.to_numpy(), hs.values.to_numpy()
+        before = [hs[x : x + int(np.searchsorted(hs[x:y], h))] for x, y in zip(at, at[1:])]  # meetings less than this one
         bits = [np.frombuffer(b, np.uint64) for b in t["bits"].to_pylist()]
         width = min(map(len, bits))
         flat = np.empty((len(bits), width), np.uint64)
@@ -344,11 +350,12 @@ def _across(open_: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                 a = np.bitwise_count(flat[k] & ~flat[j]).sum(1).astype(np.int64)
                 b = np.bitwise_count(flat[j] & ~flat[k]).sum(1).astype(np.int64)
                 j = j[np.minimum(n[k] - a, n[j] - b) >= bands.needed(n[k], n[j])]
+                j = j[np.array([not np.isin(before[m], before[k]).any() for m in j], bool)]
                 out.append(np.stack([np.full(len(j), k), j]))
         a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"ahi": hi[a], "alo": lo[a], "bhi": hi[b], "blo": lo[b]})
 
-    return dealt.groupBy("h", "i", "j").applyInArrow(compare, "ahi long, alo long, bhi long, blo long").distinct()
+    return dealt.groupBy("h", "i", "j").applyInArrow(compare, "ahi long, alo long, bhi long, blo long")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
