@@ -303,7 +303,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
                         [pa.array([[w[:200] for w in words]]), pa.array([tag[p:q].tolist()], pa.list_(pa.int32())), pa.array([int(t.file[d])], pa.int32())], ["words", "tags", "file"]
                     )
 
-    parts = [ranked.where(F.col("has") == x).orderBy("h").limit(sample // 2).select("text", "h") for x in (True, False)]
+    def least(x: bool) -> DataFrame:
+        """The rows of the smallest hashes; a bound from the hashes alone comes first, so that few texts travel."""
+        mine = ranked.where(F.col("has") == x)
+        bound = mine.select("h").orderBy("h").limit(sample // 2).agg(F.max("h")).first()[0]
+        return mine.where(F.col("h") <= F.lit(bound).cast("long")).orderBy("h").limit(sample // 2).select("text", "h")
+
+    parts = [least(x) for x in (True, False)]
     got = parts[0].unionByName(parts[1]).mapInArrow(windows, "words array<string>, tags array<int>, file int").toArrow().to_pylist()
     got.sort(key=lambda r: (r["words"], r["tags"], r["file"]))
     got = [r for r in got if r["words"] and not (r["tags"][0] == 2)]
