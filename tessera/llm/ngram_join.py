@@ -296,7 +296,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
 
     # members that still meet members of other components
     labelled = met.join(first.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component"), ["hi", "lo"], "left").withColumn("component", F.coalesce("component", F.struct("hi", "lo")))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
+    digests = [F.bit_xor(F.xxhash64(F.lit(salt), "hi", "lo")).alias(f"d{salt}") for salt in (0, 1)]
+    mixed = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), *digests).where("x <> y")
+    mixed = mixed.groupBy("size", "d0", "d1").agg(F.min("h").alias("h")).select("h")  # of meetings with the same members, one
     open_ = Stored(labelled.join(mixed, "h"), "open").df
     rest = _across(open_, sets, bands).join(stars, ["ahi", "alo", "bhi", "blo"], "left_anti")
     more = Stored(verified(rest, sets, bands), "morelinks").df
