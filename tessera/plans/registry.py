@@ -571,9 +571,11 @@ found AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS
 """
 
 
-def _documents(spark, d) -> DataFrame:
+def _documents(spark, d, most: int | None = 18) -> DataFrame:
+    """Documents by their first `most` words, as the SQL above has them; None: by all."""
     flat = F.lower(F.regexp_replace("text", r"\s+", " "))
-    w = F.slice(F.filter(F.split(flat, " "), lambda t: t != ""), 1, 18)
+    w = F.filter(F.split(flat, " "), lambda t: t != "")
+    w = w if most is None else F.slice(w, 1, most)
     return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.array_join(w, " ").alias("name"), (F.col("doc_id") % 4 == 0).alias("is_s"))
 
 
@@ -620,7 +622,8 @@ def topk_name(spark, d):
 
 @query()
 def topk_bm25(spark, d):
-    docs = _documents(spark, d)
+    """Over whole texts."""
+    docs = _documents(spark, d, None)
     ent = docs.where("is_s")
     e = search.bm25(search.counts(ent, search.words(F.col("name"))), ent)
     q = search.counts(docs.where("NOT is_s"), search.words(F.col("name"))).withColumn("w", F.lit(1.0))
