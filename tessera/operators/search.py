@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The reference's cap on a word's document frequency.
+MAX_DF_WORD = 5000
+
 
 def char_grams(col: Column, n: int = 3) -> Column:
     """Character n-grams of the text padded by a blank on either side."""
@@ -49,7 +52,25 @@ def tfidf(term_counts: DataFrame, idf: DataFrame) -> DataFrame:
     return t.select("country", "id", "term", F.round(F.col("w") / norm, 9).alias("w"))
 
 
-def bm25(term_counts: DataFrame, entities: DataFrame, k1: float = 1.2, b: float = 0.75, max_df: int = 50) -> DataFrame:
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each distinct (country, name), its id the least of its members' ids; and the members (country, class, id)."""
+    key = ["country", F.sha2("name", 256).alias("key")]
+    same = docs.where("name IS NOT NULL").groupBy(*key).agg(F.min("id").alias("class"), F.collect_list("id").alias("ids"), F.first("name").alias("name"))
+    return same.select("country", F.col("class").alias("id"), "name"), same.select("country", "class", F.explode("ids").alias("id"))
+
+
+def topk_of_members(found: DataFrame, queries: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """The k best entities of each query from the k best classes of its class; members of a class share its score.
+
+    k classes are enough: each has a member that goes before all members of later classes. Of a class, k members are.
+    """
+    least = entities.withColumn("_m", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("_m") <= k)
+    s = found.select("q", F.col("s").alias("class"), "score").join(least.select("class", F.col("id").alias("s")), "class")
+    best = s.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "s"))).where(F.col("rank") <= k)
+    return best.select(F.col("q").alias("class"), "s", "score", "rank").join(queries.select("class", F.col("id").alias("q")), "class").select("q", "s", "score", "rank")
+
+
+def bm25(term_counts: DataFrame, entities: DataFrame, k1: float = 1.2, b: float = 0.75, max_df: int = MAX_DF_WORD) -> DataFrame:
     """BM25 weights of entity postings, for binary queries."""
     length = term_counts.groupBy("country", "id").agg(F.sum("tf").alias("len"))
     mean = length.groupBy("country").agg(F.avg("len").alias("mean"), F.count("*").alias("n"))

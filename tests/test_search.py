@@ -45,3 +45,11 @@ def test_words_past_a_shared_header_decide(spark, tmp_path):
     want = brute(rows)
     assert got.keys() == want.keys() and all(got[x][1] == want[x][1] and got[x][0] == pytest.approx(want[x][0], abs=2e-6) for x in want)
     assert got[9, 8][1] == 1
+
+
+def test_copies_keep_their_own_terms(spark, tmp_path):
+    rows = [(4 * k, "the very same text", "en") for k in range(60)] + [(400 + 4 * k, f"another {k}", "en") for k in range(3)]
+    rows += [(1, "same text", "en"), (2, "same text", "en")]
+    got = {(r.q, r.s): (r.score, r["rank"]) for r in run(spark, tmp_path, rows)}
+    assert got.keys() == {(q, 4 * k) for q in (1, 2) for k in range(10)} and got.keys() == brute(rows).keys()
+    assert all(got[q, 4 * k][1] == k + 1 for q in (1, 2) for k in range(10))
