@@ -536,7 +536,7 @@ def fuzzy(spark, d):
 
 @query()
 def unaccent(spark, d):
-    return _t(spark, d, "documents").select("doc_id", C.unaccent(F.substring("text", 1, 200)).alias("plain"))
+    return _t(spark, d, "documents").select("doc_id", C.unaccent(F.col("text")).alias("plain"))
 
 
 @query()
