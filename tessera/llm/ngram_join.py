@@ -14,7 +14,8 @@ intersected exactly. A pair that meets more than once is taken at the least of i
 
 Edge cases: null, empty and blank texts have no set and no links; texts with fewer than k words are one shingle; repeated
 rows are one class and link; a null doc_id takes part, and its component is the least non-null doc_id reachable (null if
-there is none); an empty table gives an empty result; extra columns are ignored.
+there is none); an empty table gives an empty result; extra columns are ignored. The input must read the same twice
+(files, not a random sample).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, byte_slices, mix64, n_parts, spans_of, text_column, word_hashes, words_of
+from .common import Stored, byte_slices, mix64, n_parts, spans_of, text_column, with_rid, word_hashes, words_of
 from .components import components
 
 #: Pieces that rows are dealt out in, for each partition of the shuffle.
@@ -255,7 +256,7 @@ def _nodes(hi: str, lo: str):
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for links of Jaccard similarity >= num/den between sets of k-word shingles."""
     bands = Bands(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def light(batches):
         for batch in batches:
@@ -263,14 +264,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
             for lo, end in byte_slices(text):
                 s, counts = shingle_sets(text.slice(lo, end - lo), k)
                 keys = set_keys(s, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, end - lo), pa.array(counts, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, end - lo) for c in (0, 2)), pa.array(counts, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "rid", "n", "hi", "lo"])
 
-    rows = Stored(docs.mapInArrow(light, "doc_id long, n long, hi long, lo long"), "sets").df
+    rows = Stored(docs.mapInArrow(light, "doc_id long, rid long, n long, hi long, lo long"), "sets").df
     met = Stored(meetings(docs, k, bands), "meetings").df
     nodes = met.select("hi", "lo").distinct()
 
-    # the sets of the classes that meet others: one document stands for a class; texts are dealt out once
-    chosen = rows.where("n > 0").join(nodes, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
+    # the sets of the classes that meet others: one row (by its never-null number) stands for a class; texts are dealt out once
+    chosen = rows.where("n > 0").join(nodes, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("rid").alias("rid"))
 
     def full(batches):
         for batch in batches:
@@ -283,9 +284,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
                 bits = [bitmap(x, bits_for(len(x))).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["hi", "lo", "n", "bits", "s"])
 
-    sets_text = docs.where("doc_id IS NOT NULL").join(chosen.select("doc_id").distinct(), "doc_id").select("text")
+    sets_text = docs.join(chosen.select("rid"), "rid").select("text")
     built = sets_text.mapInArrow(full, "hi long, lo long, n long, bits binary, s binary")
-    # a doc_id may repeat with different texts, and equal texts may be built twice
     sets = Stored(built.join(nodes, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("s").alias("s")), "arrays").df
 
     centre = met.groupBy("h").agg(F.min(F.struct("hi", "lo")).alias("c"))

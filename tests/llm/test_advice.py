@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import lm_score
+from tessera.llm import lm_score, ngram_join
 
 
 def test_lm_learns_every_bit_of_one_chunk():
@@ -17,3 +17,13 @@ def test_lm_learns_every_bit_of_one_chunk():
     model.learn(coded, np.ones(50), apm, {})
     mass = apm.reshape(lm_score.GATES, 8, -1).sum((0, 2))
     assert mass.tolist() == [len(coded.b)] * 8
+
+
+def test_near_copies_link_through_a_null_id(spark):
+    w = [f"w{k}" for k in range(120)]
+    a, b, c = (" ".join(w[x : x + 100]) for x in (0, 8, 16))  # neighbours 0.85, ends 0.72
+    lone = [" ".join(f"v{k}" for k in range(x, x + 100)) for x in (0, 5)]
+    rows = [(9, a), (None, b), (5, c), (None, b), (7, lone[0]), (None, lone[1]), (None, "none at all"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 1, 4, 5).collect()), key=str)
+    assert got == sorted([(9, 100, 5), (None, 100, 5), (5, 100, 5), (None, 100, 5), (7, 100, 7), (None, 100, 7), (None, 3, None), (None, 0, None)], key=str)
