@@ -10,7 +10,8 @@ Where O leads both other tags by more than any two transitions could repay, the
 which is exact, and only the stretches between are decoded.
 
 Edge cases: null and empty texts have no spans; a text is scanned whole; overlapping finds of different kinds are all
-listed; added spans never overlap base ones; repeated rows are scanned each; an empty table gives an empty result and an
+listed; added spans never overlap base ones: of a tagged stretch that meets base spans, the parts that they leave are
+added; repeated rows are scanned each; an empty table gives an empty result and an
 untrained field, which adds nothing; extra columns are ignored.
 """
 
@@ -49,6 +50,8 @@ SAMPLE, AROUND = 2000, 8
 #: What documents of the sample's first half contain.
 CUES = ("AKIA", "password", "passwd", "secret", "token", "api_key", "apikey")
 DIM = 1 << 12
+#: What parts tokens.
+SPACES = " \t\n\v\f\r"
 
 
 def base_spans(text: str, kinds=("assign", "access", "hex")) -> list[tuple[int, int, str]]:
@@ -229,6 +232,22 @@ class Tokens:
         return self.point[self.first_byte[k] + self.size[k]] - self.point[self.begin[self.owner[k]]]
 
 
+def left_over(a: int, b: int, spans: list[tuple[int, int, str]], text: str) -> list[tuple[int, int]]:
+    """The parts of a to b that no span covers (spans by start), without white space at their ends."""
+    parts, at = [], a
+    for x, y, _ in spans:
+        if x < b and y > at:
+            parts.append((at, x))
+            at = y
+    parts.append((at, b))
+    out = []
+    for x, y in parts:
+        if x < y and (part := text[x:y].strip(SPACES)):
+            x += len(text[x:y]) - len(text[x:y].lstrip(SPACES))
+            out.append((x, x + len(part)))
+    return out
+
+
 def scan(text: pa.Array, field: Field | None) -> tuple[list[list], list[list]]:
     """Base spans and added spans (start, end, kind) of each text, a few megabytes at a time."""
     base: list[list] = []
@@ -250,6 +269,7 @@ def _scan(text: pa.Array, field: Field | None) -> tuple[list[list], list[list]]:
         t = Tokens(text)
         if len(t.codes):
             e = field.scores(t.feats, t.codes, t.first, t.last, t.file[t.owner])
+            whole = -1, ""  # the text looked at last
             for begin, tags in field.tags(e, t.first):
                 k = 0
                 while k < len(tags):
@@ -259,7 +279,11 @@ def _scan(text: pa.Array, field: Field | None) -> tuple[list[list], list[list]]:
                             stop += 1
                         d = int(t.owner[begin + k])
                         a, b = int(t.start(begin + k)), int(t.end(begin + stop - 1))
-                        if not any(a < y and x < b for x, y, _ in base[d]):
+                        if any(a < y and x < b for x, y, _ in base[d]):
+                            if whole[0] != d:
+                                whole = d, text[d].as_py()
+                            added[d] += [(x, y, "crf") for x, y in left_over(a, b, base[d], whole[1])]
+                        else:
                             added[d].append((a, b, "crf"))
                         k = stop
                     else:
