@@ -1,7 +1,8 @@
 """Search: tokenisers, TF-IDF and BM25 postings, capped top-k joins, exact block keys.
 
 Postings are long tables (country, id, term, weight). A term in more than `max_df` entities is dropped before the join,
-which bounds the join's rows per query term; the cap is the reference semantics of the search, not a shortcut.
+which bounds the join's rows per query term. The reference caps its searches too, at 4,000 entities and more; queries
+with SQL take the cap of 50 that their SQL has.
 """
 
 from __future__ import annotations
