@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import spans_of, text_column
+from .common import settle, spans_of, text_column
 
 #: The pre-tokenizer's pattern; a fixed value of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,8 +46,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Chunks that a worker keeps; later ones are encoded for their batch only.
-CACHE = 250_000
+#: Bytes of chunks that a task keeps, longest chunk kept, and pairs of tokens; later ones are encoded for their batch only.
+CACHE_BYTES, CACHE_CHUNK, CACHE_PAIRS = 24 << 20, 64, 400_000
+#: What a kept chunk takes beside its letters and ids.
+CACHE_ENTRY = 200
 
 
 class Vocabulary:
@@ -93,7 +96,7 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, stay as they are when their bytes are encoded together."""
-        if len(self.known) > 2_000_000:
+        if len(self.known) >= CACHE_PAIRS:
             self.known.clear()
         known = self.known[left << 20 | right] = self._stay(left, right)
         return known
@@ -202,6 +205,7 @@ class Encoder:
         self.merges = fast_encoder(path) if by == "merges" else None
         top = max(self.v.bytes_of) + 1
         self.known: dict[str, tuple[int, ...]] = {}
+        self.room = CACHE_BYTES
         self.decimal = pa.array([f"{i}," for i in range(top)], pa.large_string())
         self.raw = pa.array([self.v.bytes_of.get(i, b"") for i in range(top)], pa.large_binary())
 
@@ -217,11 +221,22 @@ class Encoder:
         known = self.known
         new = [c for c in chunks if c not in known]
         got = list(map(self.merges, new)) if self.merges else self._walked(new)
-        room = max(0, CACHE - len(known))
-        known.update(zip(new[:room], got))
-        late = dict(zip(new[room:], got[room:]))
+        late = {}
+        for c, ids in zip(new, got):
+            if self.room > 0 and len(c) <= CACHE_CHUNK:
+                known[c] = ids
+                self.room -= CACHE_ENTRY + len(c) + 8 * len(ids)
+            else:
+                late[c] = ids
         return [known[c] if c in known else late[c] for c in chunks] if late else list(map(known.__getitem__, chunks))
 
+    def forget(self) -> None:
+        """Drops what was kept; called when a task ends, since workers live on."""
+        self.known.clear()
+        self.v.known.clear()
+        self.room = CACHE_BYTES
+        settle()
+
     def _walked(self, chunks: list[str]) -> list:
         parts = list(map(self._pretokens, chunks))
         words = set(chain.from_iterable(parts))
@@ -283,11 +298,17 @@ class Encoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, by: str = "trie") -> Encoder:
-    """One encoder for each Python worker."""
+@contextmanager
+def encoder(path: str, by: str = "trie"):
+    """The worker's encoder for the length of a task; what it kept of the texts goes with the task."""
     if (path, by) not in _ENCODERS:
+        _ENCODERS.clear()  # one vocabulary at a time
         _ENCODERS[path, by] = Encoder(path, by)
-    return _ENCODERS[path, by]
+    try:
+        yield _ENCODERS[path, by]
+    finally:
+        if (path, by) in _ENCODERS:
+            _ENCODERS[path, by].forget()
 
 
 def sliced(table: pa.Array, ids: np.ndarray, offsets: np.ndarray):
@@ -320,12 +341,12 @@ def steps(batches, most: int = STEP_BYTES):
 
 def _digests(path: str):
     def run(batches):
-        enc = encoder(path)
-        for doc_id, text in steps(batches):
-            ids, offsets = enc.batch(text)
-            a = [hashlib.sha256(x[:-1]).hexdigest() for x in sliced(enc.decimal, ids, offsets)]
-            b = [hashlib.sha256(bytes(x).decode("utf-8", "replace").encode()).hexdigest() for x in sliced(enc.raw, ids, offsets)]
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(offsets), pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder(path) as enc:
+            for doc_id, text in steps(batches):
+                ids, offsets = enc.batch(text)
+                a = [hashlib.sha256(x[:-1]).hexdigest() for x in sliced(enc.decimal, ids, offsets)]
+                b = [hashlib.sha256(bytes(x).decode("utf-8", "replace").encode()).hexdigest() for x in sliced(enc.raw, ids, offsets)]
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(offsets), pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -340,10 +361,10 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        enc = encoder(path)
-        for doc_id, text in steps(batches):
-            ids, offsets = enc.batch(text)
-            yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+        with encoder(path) as enc:
+            for doc_id, text in steps(batches):
+                ids, offsets = enc.batch(text)
+                yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -353,10 +374,10 @@ def bpe_decode(tokens: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        enc = encoder(path)
-        for batch in batches:
-            out = [enc.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+        with encoder(path) as enc:
+            for batch in batches:
+                out = [enc.decode(ids or ()).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 

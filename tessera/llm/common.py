@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -10,14 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (tests).
+#: Where intermediate tables go when the session names no shared folder and runs in one process (tests).
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; set only where it is unset."""
+    """The shared folder of the session; set only where it is unset, which a cluster's session must not leave it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SHARED
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,9 +51,25 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_rid(df: DataFrame) -> DataFrame:
+def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
     """A row number that repeats exactly for the same input files, so that null and repeated doc_ids stay apart."""
-    return df.withColumn("rid", F.monotonically_increasing_id())
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until it is none of the table's columns (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def settle() -> None:
+    """Gives memory that a worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def crc_mod(col: str, mod: int):
@@ -74,7 +94,7 @@ def byte_slices(text: pa.Array, most: int = 4 << 20, rows: int = 4096):
         end = min(max(at + 1, int(np.searchsorted(size, before + most, side="right"))), at + rows)
         yield at, end
         at = end
-    pa.default_memory_pool().release_unused()
+    settle()
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -149,7 +149,7 @@ def meetings(sets_text: DataFrame, k: int, bands: Bands) -> DataFrame:
                 for i, key in enumerate(map(tuple, keys.tolist())):
                     if counts[i] and key not in seen:
                         fresh[i] = True
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 100_000:
                             seen.add(key)
                 if not fresh.any():
                     continue

@@ -4,7 +4,8 @@ Documents are encoded, cut into full windows as far as they fill them, and what
 length. Tiers are packed from the longest to the shortest: the longest piece opens a window of its tier, gaps are filled
 by the longest shorter pieces that fit, and the last gap by the head of a shorter piece, whose tail goes back to the
 pool. So every window but the last of a run is full; windows of the shorter tiers are powers of two and need no padding.
-Sequences of one tier form step groups of equal token counts.
+Sequences of one tier form step groups of equal token counts; a task's groups go on over its runs, so all but the last of
+each tier are full.
 
 Each task packs its own documents (no shuffle); a run is at most `bpe.STEP_BYTES` of text, so memory is bounded.
 
@@ -95,17 +96,24 @@ def pack(lengths, window: int = WINDOW, tiers=TIERS):
     return pieces, windows
 
 
-def step_groups(windows: list[int], tokens: int) -> list[int]:
-    """The group of each sequence: those of one tier in a row, as many as have `tokens` tokens."""
-    open_: dict[int, tuple[int, int]] = {}
-    out, n = [], 0
-    for w in windows:
-        group, left = open_.get(w, (0, 0))
-        if not left:
-            group, left, n = n, max(1, tokens // w), n + 1
-        open_[w] = (group, left - 1)
-        out.append(group)
-    return out
+class StepGroups:
+    """Numbers of step groups: sequences of one tier in a row, as many as hold `tokens` tokens.
+
+    Open groups go on from run to run, so a task leaves at most one part-filled group for each tier.
+    """
+
+    def __init__(self, tokens: int):
+        self.tokens, self.open, self.n = tokens, {}, 0
+
+    def add(self, windows: list[int]) -> list[int]:
+        out = []
+        for w in windows:
+            group, left = self.open.get(w, (0, 0))
+            if not left:
+                group, left, self.n = self.n, max(1, self.tokens // w), self.n + 1
+            self.open[w] = (group, left - 1)
+            out.append(group)
+        return out
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, tiers=TIERS, end_id: int = END_ID) -> DataFrame:
@@ -113,25 +121,24 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        enc = encoder(path, "merges")
         base = TaskContext.get().partitionId() << 32
-        n_seq = n_group = 0
-        for doc_id, text in steps(batches):
-            ids, offsets = enc.batch(text)
-            sizes = np.diff(offsets) + 1
-            closed = np.full(len(ids) + len(text), end_id, np.uint32)
-            closed[np.arange(len(ids)) + np.repeat(np.arange(len(text)), sizes - 1)] = ids
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            pieces, windows = pack(sizes, window, tiers)
-            groups = np.array(step_groups(windows, STEP_WINDOWS * window), np.int64)
-            doc, start, length, seq, at = np.array(pieces, np.int64).reshape(-1, 5).T
-            first = begin[doc] + start
-            raw = closed.astype("<u4", copy=False)
-            crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(first, first + length)), np.int64, len(first))
-            columns = [doc_id.take(pa.array(doc)), start, length, crc, sizes[doc], base + n_seq + seq, at, np.array(windows, np.int64)[seq], base + n_group + groups[seq]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], SCHEMA.names)
-            n_seq += len(windows)
-            n_group += int(groups.max(initial=-1)) + 1
+        n_seq, groups_of = 0, StepGroups(STEP_WINDOWS * window)
+        with encoder(path, "merges") as enc:
+            for doc_id, text in steps(batches):
+                ids, offsets = enc.batch(text)
+                sizes = np.diff(offsets) + 1
+                closed = np.full(len(ids) + len(text), end_id, np.uint32)
+                closed[np.arange(len(ids)) + np.repeat(np.arange(len(text)), sizes - 1)] = ids
+                begin = np.concatenate([[0], np.cumsum(sizes)])
+                pieces, windows = pack(sizes, window, tiers)
+                groups = np.array(groups_of.add(windows), np.int64)
+                doc, start, length, seq, at = np.array(pieces, np.int64).reshape(-1, 5).T
+                first = begin[doc] + start
+                raw = closed.astype("<u4", copy=False)
+                crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(first, first + length)), np.int64, len(first))
+                columns = [doc_id.take(pa.array(doc)), start, length, crc, sizes[doc], base + n_seq + seq, at, np.array(windows, np.int64)[seq], base + groups[seq]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], SCHEMA.names)
+                n_seq += len(windows)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

@@ -3,12 +3,14 @@
 Features of a text: densities of a lexicon of words and of word beginnings, their proximity to second-person words,
 capitals, punctuation, obfuscation (letters mixed with digits or signs; folded before the lexicon is asked), and length.
 The lexicon itself is learned: terms whose document frequency among toxic training rows exceeds that among clean ones
-by a smoothed log-odds z-score. Trees and calibration are fitted on at most `MAX_TRAIN` labelled rows (the smallest
-hashes of doc_id), never on held-out ones; scoring is one map over all whole texts.
+by a smoothed log-odds z-score. All is fitted on at most `MAX_TRAIN` labelled rows (the smallest hashes of doc_id), never
+on held-out ones; they are read once and kept in the shared folder. For the calibration, lexicon and trees are learned on
+one half and score the other. Scoring is one map over all whole texts, a few megabytes at a time.
 
 Edge cases: null and empty texts get the features of a text without words; null labels and labels of unknown documents
-are left out; repeated label rows count once (the larger label); with no labels, or one class only, every score is that
-class's share and nothing else is learned; empty tables give empty results; extra columns are ignored.
+are left out; repeated label rows count once (the larger label); repeated documents are scored (and learned from) each;
+with no labels, or one class only, every score is that class's share and nothing else is learned; empty tables give
+empty results; extra columns are kept by `toxicity`, which takes other names for its two where those are taken.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, spans_of, text_column, words_of
+from .common import Stored, byte_slices, crc_mod, spans_of, text_column, words_of
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_TRAIN = 20_000
@@ -212,84 +215,102 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, text, y of at most `most` labelled rows outside the held-out fifth; the ids are few and are broadcast."""
+    """text, y, half of at most `most` labelled rows outside the held-out fifth; the ids are few and are broadcast."""
     picked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("double").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
+        .withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", "y", "half")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    rows = training_rows(docs, labels, most).select("text", "y")
-
-    def terms(batches):
-        for batch in batches:
-            text, y = text_column(batch), batch.column(1).to_numpy(zero_copy_only=False)
+def _term_counts(batches):
+    """Rows ('rows', '', half, y, n) count documents, the others documents with a term."""
+    for batch in batches:
+        whole, ys, halves = text_column(batch), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+        for lo, end in byte_slices(whole):
+            text, group = whole.slice(lo, end - lo), (2 * halves[lo:end] + ys[lo:end]).astype(np.int64)
             words, counts = words_of(text)
             encoded = words.dictionary_encode()
             plain, _ = folded(encoded.dictionary)
             doc = np.repeat(np.arange(len(text)), counts)
+            out = [[pa.array(["rows"] * 4, pa.string()), pa.array([""] * 4, pa.string()), np.arange(4), np.bincount(group, minlength=4)]]
             for kind in KINDS:
                 t = terms_of(plain, kind).dictionary_encode()
                 size = max(1, len(t.dictionary))
                 pairs = np.unique(doc * size + t.indices.to_numpy()[encoded.indices.to_numpy()])
-                for label in (0, 1):
-                    c = np.bincount(pairs[y[pairs // size] == label] % size, minlength=size)
+                for g in range(4):
+                    c = np.bincount(pairs[group[pairs // size] == g] % size, minlength=size)
                     some = np.flatnonzero(c)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(some), pa.string()), t.dictionary.take(pa.array(some)).cast(pa.string()), pa.array(np.full(len(some), label), pa.int32()), pa.array(c[some], pa.int64())], ["kind", "term", "y", "n"]
-                    )
+                    out.append([pa.array([kind] * len(some), pa.string()), t.dictionary.take(pa.array(some)).cast(pa.string()), np.full(len(some), g), c[some]])
+            for kind, term, g, n in out:
+                yield pa.RecordBatch.from_arrays([kind, term, pa.array(g.astype(np.int32) // 2), pa.array(g.astype(np.int32) % 2), pa.array(n.astype(np.int64))], ["kind", "term", "half", "y", "n"])
+
+
+def lexicon_of(counted: DataFrame, sizes: dict, halves: tuple) -> Lexicon:
+    """The terms that stand out among the toxic rows of the halves; counted (kind, term, c00, c01, c10, c11) by half and label."""
+    toxic, clean = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
+    a, b = (sum((F.col(f"c{h}{y}") for h in halves), F.lit(0)) for y in (1, 0))
+    found = counted.select("kind", "term", (a + 0.5).alias("a"), (b + 0.5).alias("b")).where((F.col("a") >= 3.5) & (F.col("term") != ""))
+    odds = F.log(F.col("a") / (toxic + 1 - F.col("a"))) - F.log(F.col("b") / (clean + 1 - F.col("b")))
+    found = found.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / F.col("a") + 1 / F.col("b"))).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 1.5))
+    best = found.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("z"), "term"))).where(F.col("k") <= MAX_TERMS)
+    return Lexicon([(r["kind"], r["term"], r["z"]) for r in best.orderBy("kind", "k").collect()])  # at most MAX_TERMS of each kind
+
 
-    sizes = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
+    """Lexicon, trees and calibration; for the calibration, each half is scored by lexicon and trees of the other half only."""
+    kept = Stored(training_rows(docs, labels, most), "labelled")
+    rows = kept.df
+    counts = rows.mapInArrow(_term_counts, "kind string, term string, half int, y int, n long").groupBy("kind", "term").agg(
+        *(F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"c{h}{y}") for h in (0, 1) for y in (0, 1))
+    )
+    terms = Stored(counts, "terms")
+    sizes = {(h, y): r[f"c{h}{y}"] for r in terms.df.where("kind = 'rows'").collect() for h in (0, 1) for y in (0, 1)}
+    toxic, clean = (sum(sizes.get((h, y), 0) for h in (0, 1)) for y in (1, 0))
     if not toxic or not clean:
+        kept.drop(), terms.drop()
         return Model(Lexicon([]), None, None, float(toxic > 0))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (toxic + 1 - a)) - F.log(b / (clean + 1 - b))
-    found = (
-        rows.mapInArrow(terms, "kind string, term string, y int, n long")
-        .groupBy("kind", "term")
-        .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-        .where((F.col("a") >= 3) & (F.col("term") != ""))
-        .withColumn("odds", odds)
-        .withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
-        .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 1.5))
-    )
-    lexicon = Lexicon([(k, r["term"], r["z"]) for k in KINDS for r in found.where(F.col("kind") == k).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()])
+    counted = terms.df.where("kind <> 'rows'")
+    lexicons = [lexicon_of(counted, sizes, h) for h in ((0, 1), (0,), (1,))]
 
     def features(batches):
         for batch in batches:
-            x = lexicon.features(text_column(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
-
-    got = rows.mapInArrow(features, "y double, x array<double>").toArrow()
-    y = got["y"].to_numpy()
+            text = text_column(batch)
+            for lo, end in byte_slices(text):
+                x = np.concatenate([lexicon.features(text.slice(lo, end - lo)) for lexicon in lexicons], 1)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, end - lo), batch.column(2).slice(lo, end - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "half", "x"])
+
+    got = rows.mapInArrow(features, "y double, half int, x array<double>").toArrow()  # at most `most` rows of numbers
+    kept.drop(), terms.drop()
+    y, half = got["y"].to_numpy(), got["half"].to_numpy()
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-    order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order]
-    half = np.arange(len(y)) % 2
+    order = np.lexsort((*x.T, half, y))
+    x, y, half = x[order], y[order], half[order]
+    width = len(FEATURES)
     margin = np.zeros(len(y))
     for k in (0, 1):
-        margin[half == k] = Trees().fit(x[half != k], y[half != k]).margin(x[half == k])
-    return Model(lexicon, Trees().fit(x, y), isotonic(margin, y), y.mean())
-
+        seen, own = half != k, x[:, (2 - k) * width : (3 - k) * width]  # the features of the other half's lexicon
+        if seen.any():
+            margin[~seen] = Trees().fit(own[seen], y[seen]).margin(own[~seen])
+    return Model(lexicons[0], Trees().fit(x[:, :width], y), isotonic(margin, y), y.mean())
 
-def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with `score` and `predicted`; one map, no shuffle."""
-    from pyspark.sql import types as T
 
+def toxicity(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """All columns of docs with the score and the class, under the names given (which replace columns of these names); one map, no shuffle."""
     names = docs.columns
-    schema = T.StructType([f for f in docs.schema if f.name not in ("score", "predicted")] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    keep = [k for k, c in enumerate(names) if c not in ("score", "predicted")]
+    schema = T.StructType([f for f in docs.schema if f.name not in (score, predicted)] + [T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
+    keep = [k for k, c in enumerate(names) if c not in (score, predicted)]
 
     def run(batches):
         for batch in batches:
-            score = np.clip(model.score(text_column(batch)), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema.names)
+            text = text_column(batch)
+            for lo, end in byte_slices(text):
+                p = np.clip(model.score(text.slice(lo, end - lo)), 0, 1)
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, end - lo) for k in keep] + [pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
