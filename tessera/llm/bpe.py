@@ -55,7 +55,8 @@ CACHE_ENTRY = 200
 class Vocabulary:
     """A tokenizer file: token bytes, merges as (left, right) -> token, and each token's two halves."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merging: bool = True):
+        """Without `merging`, the token bytes only."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = byte_letters()
@@ -69,6 +70,11 @@ class Vocabulary:
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
+        #: every suffix of a token: the token that it is itself, or -1
+        self.suffix: dict[bytes, int] = {}
+        self.known: dict[int, bool] = {}
+        if not merging:
+            return
         for r, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
@@ -76,12 +82,9 @@ class Vocabulary:
             if whole not in self.halves:
                 self.halves[whole] = (left, right)
                 self.rank[whole] = r
-        #: every suffix of a token: the token that it is itself, or -1
-        self.suffix: dict[bytes, int] = {}
         for token in self.id_of:
             for k in range(len(token)):
                 self.suffix.setdefault(token[k:], self.id_of.get(token[k:], -1))
-        self.known: dict[int, bool] = {}
 
     def merged(self, token_bytes: bytes) -> list[int]:
         """The encoding by plain merging, lowest rank first."""
@@ -197,7 +200,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, by: str = "trie"):
-        self.v = Vocabulary(path)
+        self.v = Vocabulary(path, by == "trie")
         self.trie = Trie(self.v)
         self.find = regex.compile(PATTERN).findall
         self.special = list(self.v.special)

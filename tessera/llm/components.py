@@ -29,7 +29,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """links (a, b) of comparable nodes -> (node, component): the least node reachable, for every node that has a link.
 
-    Every round is written to the shared folder; memory doesn't grow with a component.
+    Every round is written to the shared folder; memory doesn't grow with a component. Links that `rounds` rounds don't
+    settle raise an error: a labelling that isn't final is no result.
     """
     start = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = Stored(start, "links")
@@ -39,8 +40,11 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         after = _mark(then.df)
         now.drop()
         now = then
-        if after == before:
+        settled, before = after == before, after
+        if settled:
             break
-        before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
     out = now.df
     return out.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(out.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -7,10 +7,14 @@ into more than D buckets, they agree in a whole bucket (counting only buckets in
 than D do): classes meet where a bucket's content hashes alike. Nothing is lost by this, and no frequency order or
 cap is needed.
 
-Classes that meet are first tested against the least class that they meet (a star, not all pairs); components of the
-links found are contracted, and only members of *different* components that still meet are compared in blocks: bitmap
-signatures bound the overlap from above (elements minus bits that the other bitmap lacks), and what survives is
-intersected exactly. A pair that meets more than once is taken at the least of its meetings only. So families of thousands of near copies cost links in proportion to their size.
+Every class is first tested against one other: of the least classes of its meetings, the one that it meets most often.
+Components of the links found are contracted, and only members of *different* components that still meet are compared in
+blocks: bitmap signatures bound the overlap from above (elements minus bits that the other bitmap lacks), and what
+survives is intersected exactly. A pair that meets more than once is taken at the least of its meetings only. So families
+of thousands of near copies cost links in proportion to their size.
+
+Hashes of shingles have 48 bits where sets are stored and intersected; content hashes have 48 bits beside the number of
+their piece, and only propose pairs.
 
 Edge cases: null, empty and blank texts have no set and no links; texts with fewer than k words are one shingle; repeated
 rows are one class and link; a null doc_id takes part, and its component is the least non-null doc_id reachable (null if
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, byte_slices, mix64, n_parts, spans_of, text_column, with_rid, word_hashes, words_of
+from .common import Stored, byte_slices, mix64, n_parts, settle, spans_of, text_column, with_rid, word_hashes, words_of
 from .components import components
 
 #: Pieces that rows are dealt out in, for each partition of the shuffle.
@@ -48,6 +52,7 @@ def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(k):
         inside = j < width
         s = np.where(inside, mix64(s ^ h[np.minimum(at + j, max(0, len(h) - 1))]) + np.uint64(j + 1), s) if len(h) else s
+    s >>= np.uint64(16)
     order = np.lexsort((s, doc))
     s, doc = s[order], doc[order]
     keep = np.ones(len(s), bool)
@@ -55,6 +60,17 @@ def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[keep], np.bincount(doc[keep], minlength=len(text))
 
 
+def short(x: np.ndarray) -> bytes:
+    """Six bytes of each number, which are all that 48-bit hashes have."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def set_keys(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Two 64-bit digests of each set."""
     offsets = spans_of(counts)
@@ -107,7 +123,7 @@ def bucket_rows(s: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.nda
     for up in (0, 1):
         tile = band + up
         most = bands.differ(tile)
-        k = most + 1 + most // 8
+        k = most + 1 + most // 32
         own_k = k[sets].astype(np.uint64)
         bucket = ((mixed >> np.uint64(32)) * own_k) >> np.uint64(32)
         base = spans_of(np.where(counts > 0, k, 0))
@@ -157,33 +173,40 @@ def meetings(sets_text: DataFrame, k: int, bands: Bands) -> DataFrame:
                 owner, h = bucket_rows(s, counts, bands)
                 part = (h % np.uint64(pieces)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                owner, h, part = owner[order], h[order], part[order]
+                owner, h, part = owner[order], h[order] >> np.uint64(16), part[order]
                 at = np.searchsorted(part, np.arange(pieces + 1))
                 some = np.flatnonzero(np.diff(at))
                 rows = [[], [], [], [], []]
                 for p in some:
                     o = owner[at[p] : at[p + 1]]
                     who, index = np.unique(o, return_inverse=True)
-                    for r, v in zip(rows, (p, h[at[p] : at[p + 1]].tobytes(), index.astype(np.uint16).tobytes(), keys[who, 0].tobytes(), keys[who, 1].tobytes())):
+                    for r, v in zip(rows, (p, short(h[at[p] : at[p + 1]]), index.astype(np.uint16).tobytes(), keys[who, 0].tobytes(), keys[who, 1].tobytes())):
                         r.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "h", "c", "hi", "lo"])
 
     def meet(batches):
-        h, hi, lo = [], [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                c = np.frombuffer(r["c"], np.uint16)
-                h.append(np.frombuffer(r["h"], np.int64))
-                hi.append(np.frombuffer(r["hi"], np.int64)[c])
-                lo.append(np.frombuffer(r["lo"], np.int64)[c])
-        if not h:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
             return
-        h, hi, lo = map(np.concatenate, (h, hi, lo))
+        # the piece is part of a content hash: pieces lie in 16 bits above the 48
+        h = np.concatenate([long(r["h"]) | np.uint64(r["part"] % 65536) << np.uint64(48) for r in rows]).view(np.int64)
         order = np.argsort(h, kind="stable")
-        h = h[order]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        shared = np.repeat(np.diff(np.append(edge, len(h))) > 1, np.diff(np.append(edge, len(h))))
-        h, hi, lo = h[shared], hi[order][shared], lo[order][shared]
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        alone = new & np.append(new[1:], True)
+        shared = np.ones(len(h), bool)
+        shared[order[alone]] = False
+        del order, new, alone
+        # of what meets nothing, classes are never looked up
+        hi, lo, at = [], [], 0
+        for r in rows:
+            c = np.frombuffer(r["c"], np.uint16)
+            c = c[shared[at : at + len(c)]]
+            at += len(r["c"]) // 2
+            hi.append(np.frombuffer(r["hi"], np.int64)[c])
+            lo.append(np.frombuffer(r["lo"], np.int64)[c])
+        del rows
+        h, hi, lo = h[shared], np.concatenate(hi), np.concatenate(lo)
         order = np.lexsort((lo, hi, h))
         h, hi, lo = h[order], hi[order], lo[order]
         new = np.ones(len(h), bool)
@@ -194,14 +217,15 @@ def meetings(sets_text: DataFrame, k: int, bands: Bands) -> DataFrame:
         many = np.repeat(size > 1, size)
         if many.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, hi, lo)], ["h", "hi", "lo"])
+        settle()
 
     packed = sets_text.select("text").mapInArrow(emit, _MEETINGS)
-    return packed.repartition(parts, "part").mapInArrow(meet, "h long, hi long, lo long")
+    return packed.repartition(2 * parts, "part").mapInArrow(meet, "h long, hi long, lo long")
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits, bool)
-    out[(s >> np.uint64(17)) % np.uint64(bits)] = True
+    out[(s >> np.uint64(9)) % np.uint64(bits)] = True
     return np.packbits(out).view(np.uint64)
 
 
@@ -236,7 +260,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
         for batch in batches:
             keep = []
             for r in batch.select(["a", "b"]).to_pylist():
-                a, b = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint64)
+                a, b = long(r["a"]), long(r["b"])
                 j = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 keep.append(bands.link(len(a), len(b), int((b[j] == a).sum())))
             yield batch.select(["ahi", "alo", "bhi", "blo"]).filter(pa.array(keep, pa.bool_()))
@@ -267,8 +291,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, end - lo) for c in (0, 2)), pa.array(counts, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "rid", "n", "hi", "lo"])
 
     rows = Stored(docs.mapInArrow(light, "doc_id long, rid long, n long, hi long, lo long"), "sets").df
-    met = Stored(meetings(docs, k, bands), "meetings").df
-    nodes = met.select("hi", "lo").distinct()
+    met = Stored(meetings(docs, k, bands), "meetings")
+    nodes = met.df.select("hi", "lo").distinct()
 
     # the sets of the classes that meet others: one row (by its never-null number) stands for a class; texts are dealt out once
     chosen = rows.where("n > 0").join(nodes, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("rid").alias("rid"))
@@ -282,29 +306,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
                 at, keys = spans_of(counts), set_keys(s, counts)
                 sets = [s[a:b] for a, b in zip(at, at[1:])]
                 bits = [bitmap(x, bits_for(len(x))).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["hi", "lo", "n", "bits", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array([short(x) for x in sets], pa.binary())], ["hi", "lo", "n", "bits", "s"])
 
     sets_text = docs.join(chosen.select("rid"), "rid").select("text")
-    built = sets_text.mapInArrow(full, "hi long, lo long, n long, bits binary, s binary")
-    sets = Stored(built.join(nodes, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("s").alias("s")), "arrays").df
+    # one row for each class that was chosen: a set's key is that of its class
+    sets = Stored(sets_text.mapInArrow(full, "hi long, lo long, n long, bits binary, s binary"), "arrays")
 
-    centre = met.groupBy("h").agg(F.min(F.struct("hi", "lo")).alias("c"))
-    stars = met.join(centre, "h").select(F.col("c.hi").alias("ahi"), F.col("c.lo").alias("alo"), F.col("hi").alias("bhi"), F.col("lo").alias("blo")).where("ahi <> bhi OR alo <> blo").distinct()
-    links = Stored(verified(stars, sets, bands), "starlinks").df
-    edges = links.select(_nodes("ahi", "alo").alias("a"), _nodes("bhi", "blo").alias("b"))
-    first = Stored(components(edges), "comp").df
+    links = Stored(verified(_centres(met.df), sets.df, bands), "starlinks")
+    edges = links.df.select(_nodes("ahi", "alo").alias("a"), _nodes("bhi", "blo").alias("b"))
+    first = Stored(components(edges), "comp")
 
     # members that still meet members of other components
-    labelled = met.join(first.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component"), ["hi", "lo"], "left").withColumn("component", F.coalesce("component", F.struct("hi", "lo")))
+    of_class = first.df.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component")
+    labelled = met.df.join(of_class, ["hi", "lo"], "left").withColumn("component", F.coalesce("component", F.struct("hi", "lo")))
     digests = [F.bit_xor(F.xxhash64(F.lit(salt), "hi", "lo")).alias(f"d{salt}") for salt in (0, 1)]
     mixed = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), *digests).where("x <> y")
     mixed = mixed.groupBy("size", "d0", "d1").agg(F.min("h").alias("h")).select("h")  # of meetings with the same members, one
-    open_ = Stored(labelled.join(mixed, "h"), "open").df
-    rest = _across(open_, sets, bands).join(stars, ["ahi", "alo", "bhi", "blo"], "left_anti")
-    more = Stored(verified(rest, sets, bands), "morelinks").df
-    every = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(_nodes("ahi", "alo").alias("a"), _nodes("bhi", "blo").alias("b")))
-    comp = Stored(components(every), "comp").df.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component")
-
+    open_ = Stored(labelled.join(mixed, "h"), "open")
+    every = edges
+    if not open_.df.isEmpty():
+        rest = _across(open_.df, sets.df, bands)
+        more = Stored(verified(rest, sets.df, bands), "morelinks")
+        every = first.df.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.df.select(_nodes("ahi", "alo").alias("a"), _nodes("bhi", "blo").alias("b")))
+        comp = Stored(components(every), "comp")
+        first.drop(), more.drop()
+    else:
+        comp = first
+    for table in (met, sets, links, open_):
+        table.drop()
+
+    comp = comp.df.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component")
     classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).join(comp, ["hi", "lo"], "left").withColumn("component", F.coalesce("component", F.struct("hi", "lo")))
     ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = classes.join(ids, "component").select("hi", "lo", "component_id")
@@ -312,6 +343,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     return rows.join(labels, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
+def _centres(met: DataFrame) -> DataFrame:
+    """(ahi, alo, bhi, blo): for each class, of the least classes of its meetings the one that it meets most often."""
+    centre = met.groupBy("h").agg(F.min(F.struct("hi", "lo")).alias("c"))
+    often = met.join(centre, "h").where("c.hi <> hi OR c.lo <> lo").groupBy("hi", "lo", "c").agg(F.count("*").alias("times"))
+    best = often.groupBy("hi", "lo").agg(F.max_by("c", F.struct("times", "c")).alias("c"))
+    return best.select(F.col("c.hi").alias("ahi"), F.col("c.lo").alias("alo"), F.col("hi").alias("bhi"), F.col("lo").alias("blo"))
+
+
 def _across(open_: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of members of one meeting but of different components that their sizes and bitmaps allow to link, each once.
 
@@ -357,6 +396,8 @@ def _across(open_: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
         a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"ahi": hi[a], "alo": lo[a], "bhi": hi[b], "blo": lo[b]})
 
+    # dealt by block pair: a partitioning by h alone would put all blocks of a large meeting into one task
+    dealt = dealt.repartition(n_parts(open_.sparkSession), "h", "i", "j")
     return dealt.groupBy("h", "i", "j").applyInArrow(compare, "ahi long, alo long, bhi long, blo long")
 
 
