@@ -4,13 +4,14 @@ A document's set holds the hashes of its distinct k-word shingles. Equal sets ar
 fall into geometric size bands so that only classes of one band or of neighbouring bands can reach the threshold; a tile
 is two such bands. In a tile, two sets that reach the threshold differ in at most D elements, so if hash space is cut
 into more than D buckets, they agree in a whole bucket (counting only buckets in which a set has elements whenever more
-than D do): classes meet where a bucket's content hashes alike. Nothing is lost by this, and no frequency order or
-cap is needed.
+than D do): classes meet where a bucket's content hashes alike. Buckets of few elements propose pairs that share a common
+passage and little else, so a set that has more than D buckets of `Bands.least` elements or more sends these only: one of
+them is the same in a linked set, which therefore sends it too. Nothing is lost by this, and no frequency order or cap is
+needed.
 
-Every class is first tested against one other: of the least classes of its meetings, the one that it meets most often.
-Components of the links found are contracted, and only members of *different* components that still meet are compared in
+Classes that meet are first tested against the least class that they meet (a star, not all pairs). Components of the links found are contracted, and only members of *different* components that still meet are compared in
 blocks: bitmap signatures bound the overlap from above (elements minus bits that the other bitmap lacks), and what
-survives is intersected exactly. A pair that meets more than once is taken at the least of its meetings only. So families
+survives is intersected exactly. A pair in several stars is taken at the first of them only. So families
 of thousands of near copies cost links in proportion to their size.
 
 Hashes of shingles have 48 bits where sets are stored and intersected; content hashes have 48 bits beside the number of
@@ -38,6 +39,8 @@ from .components import components
 SPREAD = 4
 #: Rows of a block when members of different components are compared.
 BLOCK = 1024
+#: Pairs whose keys are broadcast, at most (32 bytes each); beyond it, both sides are shuffled.
+FEW = 200_000
 
 
 def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +108,15 @@ class Bands:
         both = 2 * self.most(tile)
         return both * (self.den - self.num) // (self.den + self.num)
 
+    def buckets(self, differ: np.ndarray) -> np.ndarray:
+        """In how many buckets a tile's sets are cut: a quarter more than needed, so that enough of them are well filled."""
+        return differ + 2 + differ // 4
+
+    @property
+    def least(self) -> int:
+        """Elements of a well filled bucket: half of what a bucket of a tile holds on average."""
+        return max(1, round((self.den + self.num) / (2 * (self.den - self.num)) / 1.25 / 2)) if self.den > self.num else 1
+
     def link(self, a: int, b: int, common: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
@@ -123,7 +135,7 @@ def bucket_rows(s: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.nda
     for up in (0, 1):
         tile = band + up
         most = bands.differ(tile)
-        k = most + 1 + most // 32
+        k = bands.buckets(most)
         own_k = k[sets].astype(np.uint64)
         bucket = ((mixed >> np.uint64(32)) * own_k) >> np.uint64(32)
         base = spans_of(np.where(counts > 0, k, 0))
@@ -134,11 +146,12 @@ def bucket_rows(s: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.nda
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
         ends = np.searchsorted(slot[order], np.arange(total + 1))
         content = sums[ends[1:]] - sums[ends[:-1]]
-        filled = ends[1:] > ends[:-1]
+        size = np.diff(ends)
         owner = np.repeat(live, k[live])
         number = np.arange(total) - base[owner]
-        few = np.bincount(owner[filled], minlength=len(counts)) <= most
-        keep = filled | few[owner]
+        enough = lambda at_least: (np.bincount(owner[size >= at_least], minlength=len(counts)) > most)[owner]
+        filled, well = size > 0, enough(bands.least)
+        keep = np.where(well, size >= bands.least, np.where(enough(1), filled, True))
         h = mix64(content ^ mix64(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tile[owner].astype(np.uint64) + (~filled).astype(np.uint64) * np.uint64(77)))
         owners.append(owner[keep])
         hashes.append(h[keep])
@@ -148,8 +161,8 @@ def bucket_rows(s: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.nda
 _MEETINGS = "part int, h binary, c binary, hi binary, lo binary"
 
 
-def meetings(sets_text: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """(h, hi, lo): classes that meet another class at content hash h. Rows travel packed by destination."""
+def stars(sets_text: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """(ahi, alo, bhi, blo): each class with the least classes of its meetings, once. Rows travel packed by destination."""
     spark = sets_text.sparkSession
     parts = n_parts(spark)
     pieces = parts * SPREAD
@@ -212,15 +225,22 @@ def meetings(sets_text: DataFrame, k: int, bands: Bands) -> DataFrame:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
         h, hi, lo = h[new], hi[new], lo[new]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        size = np.diff(np.append(edge, len(h)))
-        many = np.repeat(size > 1, size)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, hi, lo)], ["h", "hi", "lo"])
+        # the first of a meeting is its least class; every other class is a spoke
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        centre = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
+        spoke = np.flatnonzero(~first)
+        rows = np.stack([hi[centre[spoke]], lo[centre[spoke]], hi[spoke], lo[spoke]])
+        order = np.lexsort(rows[::-1])
+        rows = rows[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+        if len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in rows], ["ahi", "alo", "bhi", "blo"])
         settle()
 
     packed = sets_text.select("text").mapInArrow(emit, _MEETINGS)
-    return packed.repartition(2 * parts, "part").mapInArrow(meet, "h long, hi long, lo long")
+    return packed.repartition(2 * parts, "part").mapInArrow(meet, "ahi long, alo long, bhi long, blo long").distinct()
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -267,9 +287,13 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
     ids = "ahi long, alo long, bhi long, blo long"
     able = (F.col("an") * bands.den >= F.col("bn") * bands.num) & (F.col("bn") * bands.den >= F.col("an") * bands.num)
-    close = pairs.join(left, ["ahi", "alo"]).join(right, ["bhi", "blo"]).where(able).mapInArrow(by_bits, ids)
+    close = Stored(pairs.join(left, ["ahi", "alo"]).join(right, ["bhi", "blo"]).where(able).mapInArrow(by_bits, ids), "close").df
+    few = close.count() <= FEW
     a = sets.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("s").alias("a"))
     b = sets.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("s").alias("b"))
+    if few:  # the pairs are few: they go to the arrays, and only arrays of pairs move
+        a = a.join(F.broadcast(close.select("ahi", "alo").distinct()), ["ahi", "alo"], "left_semi")
+        b = b.join(F.broadcast(close.select("bhi", "blo").distinct()), ["bhi", "blo"], "left_semi")
     return close.join(a, ["ahi", "alo"]).join(b, ["bhi", "blo"]).select("ahi", "alo", "bhi", "blo", "a", "b").mapInArrow(by_sets, ids)
 
 
@@ -291,8 +315,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, end - lo) for c in (0, 2)), pa.array(counts, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "rid", "n", "hi", "lo"])
 
     rows = Stored(docs.mapInArrow(light, "doc_id long, rid long, n long, hi long, lo long"), "sets").df
-    met = Stored(meetings(docs, k, bands), "meetings")
-    nodes = met.df.select("hi", "lo").distinct()
+    met = Stored(stars(docs, k, bands), "stars")
+    nodes = met.df.select(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).union(met.df.select("bhi", "blo")).distinct()
 
     # the sets of the classes that meet others: one row (by its never-null number) stands for a class; texts are dealt out once
     chosen = rows.where("n > 0").join(nodes, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("rid").alias("rid"))
@@ -312,20 +336,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     # one row for each class that was chosen: a set's key is that of its class
     sets = Stored(sets_text.mapInArrow(full, "hi long, lo long, n long, bits binary, s binary"), "arrays")
 
-    links = Stored(verified(_centres(met.df), sets.df, bands), "starlinks")
+    links = Stored(verified(met.df, sets.df, bands), "starlinks")
     edges = links.df.select(_nodes("ahi", "alo").alias("a"), _nodes("bhi", "blo").alias("b"))
     first = Stored(components(edges), "comp")
 
-    # members that still meet members of other components
+    # stars that reach over several components: their members may link with each other
     of_class = first.df.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "component")
-    labelled = met.df.join(of_class, ["hi", "lo"], "left").withColumn("component", F.coalesce("component", F.struct("hi", "lo")))
-    digests = [F.bit_xor(F.xxhash64(F.lit(salt), "hi", "lo")).alias(f"d{salt}") for salt in (0, 1)]
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), *digests).where("x <> y")
-    mixed = mixed.groupBy("size", "d0", "d1").agg(F.min("h").alias("h")).select("h")  # of meetings with the same members, one
+    h = F.xxhash64("ahi", "alo").alias("h")
+    member = met.df.select(h, F.col("bhi").alias("hi"), F.col("blo").alias("lo")).unionByName(met.df.select(h, F.col("ahi").alias("hi"), F.col("alo").alias("lo")).distinct())
+    labelled = member.join(of_class, ["hi", "lo"], "left").withColumn("component", F.coalesce("component", F.struct("hi", "lo")))
+    mixed = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
     open_ = Stored(labelled.join(mixed, "h"), "open")
     every = edges
     if not open_.df.isEmpty():
-        rest = _across(open_.df, sets.df, bands)
+        rest = _across(open_.df, sets.df, bands).join(met.df, ["ahi", "alo", "bhi", "blo"], "left_anti")
         more = Stored(verified(rest, sets.df, bands), "morelinks")
         every = first.df.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.df.select(_nodes("ahi", "alo").alias("a"), _nodes("bhi", "blo").alias("b")))
         comp = Stored(components(every), "comp")
@@ -343,24 +367,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     return rows.join(labels, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def _centres(met: DataFrame) -> DataFrame:
-    """(ahi, alo, bhi, blo): for each class, of the least classes of its meetings the one that it meets most often."""
-    centre = met.groupBy("h").agg(F.min(F.struct("hi", "lo")).alias("c"))
-    often = met.join(centre, "h").where("c.hi <> hi OR c.lo <> lo").groupBy("hi", "lo", "c").agg(F.count("*").alias("times"))
-    best = often.groupBy("hi", "lo").agg(F.max_by("c", F.struct("times", "c")).alias("c"))
-    return best.select(F.col("c.hi").alias("ahi"), F.col("c.lo").alias("alo"), F.col("hi").alias("bhi"), F.col("lo").alias("blo"))
-
-
 def _across(open_: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of members of one meeting but of different components that their sizes and bitmaps allow to link, each once.
+    """Pairs of members of one star but of different components that their sizes and bitmaps allow to link, each once.
 
-    A meeting is cut into blocks of `BLOCK` members; each two blocks are one group, so that a large meeting is many tasks.
-    A member carries its open meetings (at most its buckets), which tell whether this one is the least that a pair shares.
+    Two classes that meet are in the star of the least class of their meeting. A star is cut into blocks of `BLOCK` members;
+    each two blocks are one group, so that a large star is many tasks. A member carries its open stars, which tell whether
+    this one is the first that a pair shares.
     """
     own = open_.groupBy("hi", "lo").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    member = open_.join(own, ["hi", "lo"]).join(sets.select("hi", "lo", "n", "bits"), ["hi", "lo"])
     sized = open_.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(sized, "h").withColumn("block", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int"))
+    member = open_.join(sized, "h").join(own, ["hi", "lo"]).join(sets.select("hi", "lo", "n", "bits"), ["hi", "lo"])
+    member = member.withColumn("block", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
     dealt = member.withColumn("tile", F.explode(others)).select("h", "tile.i", "tile.j", "block", "hi", "lo", "n", "bits", "hs", F.xxhash64("component").alias("comp"))
 
@@ -369,10 +386,10 @@ def _across(open_: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
         n, comp, block = (t[c].to_numpy() for c in ("n", "comp", "block"))
         hi, lo = t["hi"].to_numpy(), t["lo"].to_numpy()
         same_tile = t["i"][0].as_py() == t["j"][0].as_py()
-        h = t["h"][0].as_py()
+        turn = t["h"][0].as_py()
         hs = t["hs"].combine_chunks()
         at, hs = hs.offsets.to_numpy(), hs.values.to_numpy()
-        before = [hs[x : x + int(np.searchsorted(hs[x:y], h))] for x, y in zip(at, at[1:])]  # meetings less than this one
+        before = [hs[x : x + int(np.searchsorted(hs[x:y], turn))] for x, y in zip(at, at[1:])]  # stars whose turn is earlier
         bits = [np.frombuffer(b, np.uint64) for b in t["bits"].to_pylist()]
         width = min(map(len, bits))
         flat = np.empty((len(bits), width), np.uint64)
