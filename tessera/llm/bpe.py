@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import settle, spans_of, text_column
+from .common import byte_slices, settle, small_batches, spans_of, text_column
 
 #: The pre-tokenizer's pattern; a fixed value of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -330,16 +330,22 @@ STEP_BYTES = 8 << 20
 
 
 def steps(batches, most: int = STEP_BYTES):
-    """(doc_id, text) of each batch, in parts of bounded bytes; a longer text is a part of its own."""
+    """(doc_id, text) of the batches in a row, in parts of bounded bytes; a longer text is a part of its own."""
+    ids, texts, room = [], [], most
     for batch in batches:
         text = text_column(batch)
         size = pc.binary_length(text).to_numpy(zero_copy_only=False)
-        at = 0
-        while at < len(text):
-            end = max(at + 1, at + int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))
-            yield batch.column(0).slice(at, end - at), pa.concat_arrays([text.slice(at, end - at)])
-            pa.default_memory_pool().release_unused()
-            at = end
+        for at, end in byte_slices(text, max(most // 4, 1), 1 << 20):
+            n = int(size[at:end].sum())
+            if n > room and ids:
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                settle()
+                ids, texts, room = [], [], most
+            ids.append(batch.column(0).slice(at, end - at))
+            texts.append(text.slice(at, end - at))
+            room -= n
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
 
 
 def _digests(path: str):
@@ -356,6 +362,7 @@ def _digests(path: str):
 
 def bpe_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text of every row; no shuffle."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_digests(tokenizer or default_tokenizer()), SCHEMA)
 
 

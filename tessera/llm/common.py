@@ -32,6 +32,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
+        small_batches(self.spark)
         self.path = f"{shared_dir(self.spark)}/tessera-{tag}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
@@ -64,6 +65,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of an Arrow batch: batches of whole texts are held by the JVM and by a Python worker at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch, where the session has left Spark's default."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def settle() -> None:
     """Gives memory that a worker no longer uses back to the system."""
     pa.default_memory_pool().release_unused()
@@ -85,7 +97,7 @@ def text_column(batch, name: str = "text") -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
-def byte_slices(text: pa.Array, most: int = 4 << 20, rows: int = 4096):
+def byte_slices(text: pa.Array, most: int = 2 << 20, rows: int = 4096):
     """(first row, end) of consecutive texts of bounded bytes and number; a longer text is a slice of its own."""
     size = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)) if len(text) else np.zeros(0)
     at = 0

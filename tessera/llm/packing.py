@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .bpe import default_tokenizer, encoder, steps
+from .common import small_batches
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -119,6 +120,7 @@ class StepGroups:
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, tiers=TIERS, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence."""
     path = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, spans_of, text_column
+from .common import byte_slices, small_batches, spans_of, text_column
 
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -363,6 +363,8 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(f
 def secret_spans(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans as text; one map, no shuffle."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             base, added = scan(text_column(batch), field)
