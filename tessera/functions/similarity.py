@@ -7,9 +7,11 @@ token set holds the other and 0 if either is empty; partial is the best window o
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -50,12 +52,19 @@ def token_set(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
+    """The best window of the longer text; windows that can't beat the best by their letters alone are not compared."""
     short, long_ = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long_ else 0.0
-    n = len(short)
-    windows = [long_[i : i + n] for i in range(1 - n, len(long_)) if i >= 0] + [long_[:i] for i in range(1, n)]
-    return max(ratio(short, w) for w in dict.fromkeys(windows))
+    if short in long_:
+        return 100.0
+    n, have, best = len(short), Counter(short), 0.0
+    for at in range(1 - n, len(long_)):
+        lo, hi = max(0, at), min(len(long_), at + n)
+        common = sum((have & Counter(long_[lo:hi])).values())
+        if 200.0 * common / (n + hi - lo) > best:
+            best = max(best, ratio(short, long_[lo:hi]))
+    return best
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -105,3 +114,8 @@ def _column(fn):
 
 
 ratio_udf, token_sort_udf, token_set_udf, partial_udf, jaro_winkler_udf = map(_column, (ratio, token_sort, token_set, partial, jaro_winkler))
+
+
+def distinct_pairs(t: DataFrame, a: str, b: str, scores: dict) -> DataFrame:
+    """Each distinct pair of texts once with its scores, to be joined back: repeated pairs cost no comparison."""
+    return t.select(a, b).distinct().withColumns({name: fn(F.col(a), F.col(b)) for name, fn in scores.items()})

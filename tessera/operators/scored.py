@@ -28,11 +28,11 @@ def top_k(pairs: DataFrame, k: int, col: str = "p") -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(by_q(col))).where(F.col("_r") <= k).drop("_r")
 
 
-def second_max(col: str, key: str) -> Column:
-    """Second largest in the group; the only value of a group of one."""
+def second_max(pairs: DataFrame, col: str, key: str, name: str = "second") -> DataFrame:
+    """Second largest in the group; the only value of a group of one. One sort of the group, no list of it."""
     w = Window.partitionBy(key)
-    values = F.sort_array(F.collect_list(col).over(w), asc=False)
-    return F.when(F.size(values) > 1, F.get(values, F.lit(1))).otherwise(F.get(values, F.lit(0)))
+    t = pairs.withColumn("_k", F.row_number().over(w.orderBy(F.desc(col))))
+    return t.withColumn(name, F.coalesce(F.max(F.when(F.col("_k") == 2, F.col(col))).over(w), F.max(col).over(w))).drop("_k")
 
 
 def margin(pairs: DataFrame, col: str = "p", name: str = "margin") -> DataFrame:
@@ -50,9 +50,10 @@ def others(pairs: DataFrame, key: str = "s", col: str = "p") -> DataFrame:
     return pairs.withColumn("n_other", F.count("*").over(w) - 1).withColumn("sum_other", F.sum(col).over(w) - F.col(col))
 
 
-def keep_top2(pairs: DataFrame, least: float = 0.01) -> DataFrame:
-    """Rank 1 always, rank 2 from `least` on."""
-    return ranked(pairs).where((F.col("rank_q") == 1) | (F.col("rank_q") == 2) & (F.col("p") >= least))
+def keep_top2(pairs: DataFrame, least: float = 0.01, later: float = 0.005) -> DataFrame:
+    """Rank 1 always, rank 2 from `least` on, ranks 3 to 5 from `later` on."""
+    r, p = F.col("rank_q"), F.col("p")
+    return ranked(pairs).where((r == 1) | (r == 2) & (p >= least) | r.between(3, 5) & (p >= later))
 
 
 def close_calls(pairs: DataFrame, lo: float = 0.01, hi: float = 0.995, second: float = 0.2) -> DataFrame:
@@ -115,9 +116,8 @@ def decide_expected(pairs: DataFrame, floor: float = 0.3, alpha: float = 1.0) ->
         .withColumn("tot", F.sum("x").over(whole)).withColumn("none", F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("x")))).over(whole)))
         .withColumn("ef", F.round(1.25 * F.col("cum") / (F.col("k") + 0.25 * F.col("tot")), 9))
     )
-    best = t.groupBy("s").agg(F.max(F.struct("ef", -F.col("k"))).alias("b"), F.first("none").alias("none"))
-    kept = best.where(F.col("b.ef") > F.round("none", 9)).select("s", (-F.col("b.col2")).alias("kmax"))
-    return t.join(kept, "s").where("k <= kmax").select("q", "s")
+    best = t.withColumn("_b", F.max(F.struct("ef", (-F.col("k")).alias("k"))).over(whole))
+    return best.where((F.col("_b.ef") > F.round("none", 9)) & (F.col("k") <= -F.col("_b.k"))).select("q", "s")
 
 
 def macro_f05(decided: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:
@@ -156,14 +156,46 @@ def apply_sets(decided: DataFrame, add: DataFrame, veto: DataFrame) -> DataFrame
     return moved.join(veto.select("q", "s"), ["q", "s"], "left_anti")
 
 
-def top_fraction(pairs: DataFrame, rates: dict[str, float], default: float) -> DataFrame:
-    """The best round(rate * n) records of each country."""
-    rate = F.lit(default)
+def top_fraction(pairs: DataFrame, rates: dict, default: float | None, key: str = "country", buckets: int = 4096) -> DataFrame:
+    """The best round(rate * n) rows of each group, by p, q and s; groups without a rate take the default (None: no row).
+
+    Rows are counted by group and score bucket; whole buckets are kept or dropped, and only the rows of the one bucket in
+    which a group's cut lies are ranked, so that a large group isn't sorted in one task.
+    """
+    rate = F.lit(default).cast("double")
     for c, r in rates.items():
-        rate = F.when(F.col("country") == c, r).otherwise(rate)
-    w = Window.partitionBy("country")
-    t = pairs.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("p"), "q", "s")))
-    return t.where(F.col("_r") <= F.round(rate * F.col("_n"))).drop("_n", "_r")
+        rate = F.when(F.col(key) == c, float(r)).otherwise(rate)
+    return best_rows(pairs, key, lambda n: F.coalesce(F.round(rate * n), F.lit(0)), buckets)
+
+
+def best_rows(pairs: DataFrame, key: str, most, buckets: int = 4096) -> DataFrame:
+    """Of each group the best `most(n)` rows, n being its size."""
+    t = pairs.withColumn("_b", F.floor(F.col("p") * buckets).cast("long"))
+    down = Window.partitionBy(key).orderBy(F.desc("_b"))
+    counts = t.groupBy(key, "_b").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_above", F.sum("_c").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
+    cut = counts.withColumn("_left", most(F.col("_n")) - F.col("_above")).where("_left > 0").select(key, "_b", "_left", "_c")
+    kept = t.join(cut, [key, "_b"])
+    whole = kept.where("_left >= _c").drop("_b", "_left", "_c")
+    w = Window.partitionBy(key).orderBy(F.desc("p"), "q", "s")
+    part = kept.where("_left < _c").withColumn("_r", F.row_number().over(w)).where("_r <= _left")
+    return whole.unionByName(part.drop("_b", "_left", "_c", "_r"))
+
+
+def top_up(pairs: DataFrame, targets: dict, key: str = "country") -> DataFrame:
+    """Rows (with a boolean `acc`) added so that each group accepts its target share: the best of those not yet accepted."""
+    goal = F.lit(None).cast("double")
+    for c, r in targets.items():
+        goal = F.when(F.col(key) == c, float(r)).otherwise(goal)
+    need = pairs.groupBy(key).agg(F.count("*").alias("_all"), F.sum(F.col("acc").cast("int")).alias("_acc")).withColumn("_need", F.round(goal * F.col("_all")) - F.col("_acc"))
+    open_ = pairs.where("NOT acc").join(need.where("_need > 0").select(key, "_need"), key)
+    w = Window.partitionBy(key)
+    limit = open_.withColumn("_b", F.floor(F.col("p") * 4096).cast("long"))
+    counts = limit.groupBy(key, "_b").agg(F.count("*").alias("_c"), F.first("_need").alias("_n"))
+    cut = counts.withColumn("_left", F.col("_n") - F.sum("_c").over(w.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_c")).where("_left > 0").select(key, "_b", "_left", "_c")
+    kept = limit.join(cut, [key, "_b"])
+    part = kept.where("_left < _c").withColumn("_r", F.row_number().over(w.orderBy(F.desc("p"), "q", "s"))).where("_r <= _left")
+    return kept.where("_left >= _c").select("q", "s").unionByName(part.select("q", "s"))
 
 
 def hybrid(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -185,3 +217,21 @@ def monte_carlo(pairs: DataFrame, seed: int) -> DataFrame:
     total = F.greatest(F.sum("p").over(Window.partitionBy("q")), F.lit(1.0))
     t = pairs.withColumn("hi", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).withColumn("lo", F.col("hi") - F.col("p") / total)
     return t.where((u >= F.col("lo")) & (u < F.col("hi"))).select("q", "s")
+
+
+def threshold_grid(pairs: DataFrame, truth: DataFrame, entities: DataFrame, grid) -> DataFrame:
+    """floor, macro_f05, best: every threshold in one pass; the rules are a literal array on the top rows.
+
+    Entities without decided and true records score 1 and are counted, not listed.
+    """
+    t = top_k(pairs, 1).join(truth.withColumn("hit", F.lit(1)), ["q", "s"], "left")
+    t = t.withColumn("floor", F.explode(F.filter(F.array(*map(F.lit, grid)), lambda x: F.col("p") >= x)))
+    per = t.groupBy("floor", "s").agg(F.count("*").alias("np"), F.count("hit").alias("tp")).join(truth.groupBy("s").agg(F.count("*").alias("nt")), "s", "left").na.fill(0, ["nt"])
+    p, r = F.col("tp") / F.col("np"), F.col("tp") / F.col("nt")
+    f = F.when((F.col("nt") == 0) | (F.col("tp") == 0), 0.0).otherwise(1.25 * p * r / (0.25 * p + r))
+    by = per.groupBy("floor").agg(F.sum(f).alias("f"), F.count_if(F.col("nt") == 0).alias("wrong"))
+    whole = entities.agg(F.count("*").alias("n")).join(truth.agg(F.count_distinct("s").alias("true")))  # one row
+    rules = entities.sparkSession.createDataFrame([(float(g),) for g in grid], "floor double")
+    m = rules.join(by, "floor", "left").na.fill(0).join(F.broadcast(whole))
+    m = m.select("floor", F.round((F.col("f") + F.col("n") - F.col("true") - F.col("wrong")) / F.col("n"), 6).alias("macro_f05"))
+    return m.withColumn("best", F.row_number().over(Window.orderBy(F.desc("macro_f05"), "floor")) == 1)  # a row for each rule

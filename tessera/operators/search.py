@@ -1,8 +1,8 @@
 """Search: tokenisers, TF-IDF and BM25 postings, capped top-k joins, exact block keys.
 
 Postings are long tables (country, id, term, weight). A term in more than `max_df` entities is dropped before the join,
-which bounds the join's rows per query term. The reference caps its searches too, at 4,000 entities and more; queries
-with SQL take the cap of 50 that their SQL has.
+which bounds the join's rows per query term; the caps are the reference's. Texts are tokenised once: term counts of
+entities and records are one stored table, from which document frequencies, norms and both sides of the join are read.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The reference's cap on a word's document frequency.
-MAX_DF_WORD = 5000
+from ..sources import tables
+
+#: The reference's caps on the document frequency of character grams and of words, its least document frequency, and its cap on a block.
+MAX_DF_NAME, MAX_DF_WORD, MIN_DF, MAX_BLOCK = 4000, 5000, 2, 50
 
 
 def char_grams(col: Column, n: int = 3) -> Column:
@@ -39,11 +41,26 @@ def counts(docs: DataFrame, terms: Column) -> DataFrame:
     return docs.select("country", "id", F.explode(terms).alias("term")).groupBy("country", "id", "term").agg(F.count("*").alias("tf"))
 
 
-def idf_table(entity_counts: DataFrame, entities: DataFrame, min_df: int, max_df: int) -> DataFrame:
-    """Smooth inverse document frequency over entities: ln((1+n)/(1+df))+1."""
-    n = entities.groupBy("country").agg(F.count("*").alias("n"))
+def idf_table(entity_counts: DataFrame, sizes: DataFrame, min_df: int, max_df: int) -> DataFrame:
+    """Smooth inverse document frequency over entities: ln((1+n)/(1+df))+1; sizes (country, n) has a row for each country."""
     df = entity_counts.groupBy("country", "term").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, max_df))
-    return df.join(n, "country").select("country", "term", "df", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
+    return df.join(sizes, "country").select("country", "term", "df", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
+
+
+def stored_counts(docs: DataFrame, grams) -> DataFrame:
+    """docs (country, id, name, is_s) -> (country, id, is_s, term, tf), written once; a row with a null term stands for each document."""
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(grams(F.col("name")), F.array().cast("array<string>")))
+    path = tables.scratch(docs.sparkSession)
+    docs.select("country", "id", "is_s", F.explode(terms).alias("term")).groupBy("country", "id", "is_s", "term").agg(F.count("*").alias("tf")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def weighted(stored: DataFrame, min_df: int, max_df: int) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF postings of records and of entities over the entities' vocabulary."""
+    sizes = stored.where("is_s AND term IS NULL").groupBy("country").agg(F.count("*").alias("n"))
+    t = stored.where("term IS NOT NULL")
+    idf = idf_table(t.where("is_s"), sizes, min_df, max_df)
+    return tfidf(t.where("NOT is_s"), idf), tfidf(t.where("is_s"), idf)
 
 
 def tfidf(term_counts: DataFrame, idf: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def agg_filter(spark, d):
 
 @query("SELECT q, s, coalesce(max(CASE WHEN rank_q = 2 THEN p END) OVER (PARTITION BY q), max(p) OVER (PARTITION BY q)) AS second FROM r")
 def second_max(spark, d):
-    return pairs(spark, d).select("q", "s", scored.second_max("p", "q").alias("second"))
+    return scored.second_max(pairs(spark, d), "p", "q").select("q", "s", "second")
 
 
 @query("SELECT s, string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) AS ids FROM (SELECT DISTINCT q, s FROM pairs) GROUP BY s")
@@ -358,9 +358,9 @@ def splice(spark, d):
 # --- competition features --------------------------------------------------------------------------------------------
 
 
-@query("SELECT q, s, p FROM r WHERE rank_q = 1 OR rank_q = 2 AND p >= 0.3")
+@query("SELECT q, s, p FROM r WHERE rank_q = 1 OR rank_q = 2 AND p >= 0.3 OR rank_q BETWEEN 3 AND 5 AND p >= 0.25")
 def keep_rules(spark, d):
-    return scored.keep_top2(pairs(spark, d), 0.3).select("q", "s", "p")
+    return scored.keep_top2(pairs(spark, d), 0.3, 0.25).select("q", "s", "p")
 
 
 @query(", g AS (SELECT q, max(p) AS best, coalesce(max(CASE WHEN rank_q = 2 THEN p END), 0) AS nxt FROM r GROUP BY q) SELECT q, s, p FROM pairs WHERE q IN (SELECT q FROM g WHERE best BETWEEN 0.2 AND 0.6 OR nxt >= 0.55)")
@@ -435,11 +435,15 @@ def macro_f05(spark, d):
     return scored.macro_f05(scored.decide_expected(pairs(spark, d)), truth(spark, d), entities(spark, d))
 
 
-@query("SELECT floor, count(*) AS decided, CAST(sum(label) AS BIGINT) AS hits FROM top1, (VALUES (0.3), (0.5), (0.7)) g(floor) WHERE p >= floor GROUP BY floor".replace("floor, count", "CAST(floor AS DOUBLE) AS floor, count"))
+_GRID = (0.3, 0.4, 0.5, 0.6, 0.7)
+
+
+@query(f""", g AS (SELECT unnest([{', '.join(map(str, _GRID))}])::DOUBLE AS floor), x AS (SELECT floor, e.s, (SELECT count(*) FROM top1 t WHERE t.s = e.s AND t.p >= floor) AS np, (SELECT count(*) FROM truth t WHERE t.s = e.s) AS nt,
+(SELECT count(*) FROM top1 t WHERE t.s = e.s AND t.p >= floor AND t.label = 1) AS tp FROM g, entities e),
+f AS (SELECT floor, CASE WHEN nt = 0 THEN CAST(np = 0 AS DOUBLE) WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) END AS f FROM x),
+m AS (SELECT floor, round(avg(f), 6) AS macro_f05 FROM f GROUP BY floor) SELECT *, row_number() OVER (ORDER BY macro_f05 DESC, floor) = 1 AS best FROM m""")
 def tune_grid(spark, d):
-    """Every threshold in one pass: a row for each rule that a record passes, the rules being a literal array."""
-    t = scored.top_k(pairs(spark, d), 1).withColumn("floor", F.explode(F.filter(F.array(*map(F.lit, (0.3, 0.5, 0.7))), lambda x: F.col("p") >= x)))
-    return t.groupBy("floor").agg(F.count("*").alias("decided"), F.sum("label").alias("hits"))
+    return scored.threshold_grid(pairs(spark, d), truth(spark, d), entities(spark, d), _GRID)
 
 
 @query(_EXPECTED + _F05 + """, w AS (SELECT q, s, 'wrong' AS kind FROM dec ANTI JOIN truth USING (q, s) UNION ALL SELECT q, s, 'missed' FROM truth ANTI JOIN dec USING (q, s)),
@@ -491,9 +495,9 @@ def addr_nums(spark, d):
     return _t(spark, d, "customer").select("c_custkey", F.array_join(C.numbers(F.col("c_name")), "|").alias("nums"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(left(text, 200), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS flat FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS flat FROM documents")
 def squash(spark, d):
-    return _t(spark, d, "documents").select("doc_id", C.squash(F.substring("text", 1, 200)).alias("flat"))
+    return _t(spark, d, "documents").select("doc_id", C.squash(F.col("text")).alias("flat"))
 
 
 @query("SELECT page_id, regexp_replace(url, '^(?:https?://)?(?:www\\.)?([a-z0-9-]+)\\.(?:com|net|org|co|io)\\b.*$', '\\1') AS word FROM pages")
@@ -506,21 +510,20 @@ def lens(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.size(F.array_distinct(F.split("p_name", " "))).alias("n_words"), F.length("p_name").alias("n_chars"), F.levenshtein("p_name", "p_type").alias("lev"), F.startswith("p_type", F.substring("p_name", 1, 1)).alias("same_start"))
 
 
-@query("SELECT a.p_partkey AS s, b.p_partkey AS s2, len(list_intersect(list_distinct(string_split(a.p_name, ' ')), list_distinct(string_split(b.p_name, ' ')))) AS common FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
-def list_fns(spark, d):
-    p = _t(spark, d, "part")
-    w = lambda c: F.array_distinct(F.split(c, " "))
-    a, b = p.select("p_brand", "p_size", F.col("p_partkey").alias("s"), w("p_name").alias("x")), p.select("p_brand", "p_size", F.col("p_partkey").alias("s2"), w("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).where("s < s2").select("s", "s2", F.size(F.array_intersect("x", "y")).alias("common"))
-
-
 def _names(spark, d):
+    """Pairs of parts of one block; blocks of more than 50 parts make none, as in the reference."""
     p = _t(spark, d, "part")
     a, b = p.select("p_brand", "p_size", F.col("p_partkey").alias("s"), F.col("p_name").alias("a")), p.select("p_brand", "p_size", F.col("p_partkey").alias("s2"), F.col("p_name").alias("b"))
-    return a.join(b, ["p_brand", "p_size"]).where("s < s2")
+    return search.capped_block(a, b, ["p_brand", "p_size"], search.MAX_BLOCK).where("s < s2")
 
 
-_NAME_PAIRS = "FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
+_NAME_PAIRS = "FROM part a JOIN (SELECT *, count(*) OVER (PARTITION BY p_brand, p_size) AS block FROM part) b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND b.block <= 50"
+
+
+@query("SELECT a.p_partkey AS s, b.p_partkey AS s2, len(list_intersect(list_distinct(string_split(a.p_name, ' ')), list_distinct(string_split(b.p_name, ' ')))) AS common " + _NAME_PAIRS)
+def list_fns(spark, d):
+    w = lambda c: F.array_distinct(F.split(c, " "))
+    return _names(spark, d).select("s", "s2", F.size(F.array_intersect(w("a"), w("b"))).alias("common"))
 
 
 @query(f"SELECT a.p_partkey AS s, b.p_partkey AS s2, round(CASE WHEN jaro_similarity(a.p_name, b.p_name) > 0.7 THEN jaro_winkler_similarity(a.p_name, b.p_name) ELSE jaro_similarity(a.p_name, b.p_name) END, 6) AS jw {_NAME_PAIRS}")
@@ -558,12 +561,12 @@ def isotonic(spark, d):
 
 # --- search ----------------------------------------------------------------------------------------------------------
 
-_SEARCH = """, base AS (SELECT doc_id AS id, lang AS country, list_slice(list_filter(string_split(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' '), lambda x: x <> ''), 1, 18) AS w FROM documents),
+_SEARCH = """, base AS (SELECT doc_id AS id, lang AS country, list_filter(string_split(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
 docs AS (SELECT id, country, w, id % 4 = 0 AS is_s FROM base),
 grams AS (SELECT id, country, is_s, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1])) ELSE [] END)) AS term FROM docs),
 tf AS (SELECT id, country, is_s, term, count(*) AS tf FROM grams GROUP BY ALL),
 sizes AS (SELECT country, count(*) AS n FROM docs WHERE is_s GROUP BY country),
-idf AS (SELECT country, term, round(ln((1 + n) / (1 + df)) + 1, 9) AS idf FROM (SELECT country, term, count(*) AS df FROM tf WHERE is_s GROUP BY ALL) JOIN sizes USING (country) WHERE df BETWEEN 1 AND 50),
+idf AS (SELECT country, term, round(ln((1 + n) / (1 + df)) + 1, 9) AS idf FROM (SELECT country, term, count(*) AS df FROM tf WHERE is_s GROUP BY ALL) JOIN sizes USING (country) WHERE df BETWEEN 2 AND 5000),
 raw AS (SELECT tf.*, (1 + ln(tf)) * idf AS x FROM tf JOIN idf USING (country, term)),
 w AS (SELECT id, country, is_s, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY country, id)), 9) AS w FROM raw),
 sc AS (SELECT a.id AS q, b.id AS s, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b ON a.country = b.country AND a.term = b.term WHERE NOT a.is_s AND b.is_s GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= 0.01),
@@ -571,20 +574,16 @@ found AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS
 """
 
 
-def _documents(spark, d, most: int | None = 18) -> DataFrame:
-    """Documents by their first `most` words, as the SQL above has them; None: by all."""
+def _documents(spark, d) -> DataFrame:
+    """Documents by the words of their whole texts; every fourth is an entity, the others are records."""
     flat = F.lower(F.regexp_replace("text", r"\s+", " "))
     w = F.filter(F.split(flat, " "), lambda t: t != "")
-    w = w if most is None else F.slice(w, 1, most)
     return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.array_join(w, " ").alias("name"), (F.col("doc_id") % 4 == 0).alias("is_s"))
 
 
-def _postings(spark, d):
-    docs = _documents(spark, d)
-    ent = docs.where("is_s")
-    e, q = (search.counts(t, search.word_grams(F.col("name"))) for t in (ent, docs.where("NOT is_s")))
-    idf = search.idf_table(e, ent, 1, 50)
-    return search.tfidf(q, idf), search.tfidf(e, idf)
+def _postings(spark, d, grams=search.word_grams, max_df: int = search.MAX_DF_WORD):
+    """Weighted postings of records and entities; texts are tokenised once, into a stored table of term counts."""
+    return search.weighted(search.stored_counts(_documents(spark, d), grams), search.MIN_DF, max_df)
 
 
 @query(_SEARCH + "SELECT q, s, score, rank FROM found")
@@ -595,7 +594,7 @@ def topk_comb(spark, d):
 @query(_SEARCH + "SELECT country, term, idf FROM idf")
 def tfidf_fit(spark, d):
     ent = _documents(spark, d).where("is_s")
-    return search.idf_table(search.counts(ent, search.word_grams(F.col("name"))), ent, 1, 50).select("country", "term", "idf")
+    return search.idf_table(search.counts(ent, search.word_grams(F.col("name"))), ent.groupBy("country").agg(F.count("*").alias("n")), search.MIN_DF, search.MAX_DF_WORD).select("country", "term", "idf")
 
 
 @query(_SEARCH + """, truth2 AS (SELECT a.id AS q, b.id AS s FROM docs a JOIN docs b ON a.country = b.country AND a.w = b.w WHERE NOT a.is_s AND b.is_s)
@@ -611,19 +610,15 @@ def _same_names(spark, d) -> DataFrame:
 
 
 @query(_SEARCH.replace("SELECT id, country, is_s, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1])) ELSE [] END)) AS term FROM docs",
-    "SELECT id, country, is_s, unnest(list_transform(generate_series(1, length(concat(' ', array_to_string(w, ' '), ' ')) - 2), lambda i: substring(concat(' ', array_to_string(w, ' '), ' '), i, 3))) AS term FROM docs").replace("rank <= 20", "rank <= 10") + "SELECT q, s, score, rank FROM found")
+    "SELECT id, country, is_s, unnest(list_transform(generate_series(1, length(concat(' ', array_to_string(w, ' '), ' ')) - 2), lambda i: substring(concat(' ', array_to_string(w, ' '), ' '), i, 3))) AS term FROM docs").replace("rank <= 20", "rank <= 10").replace("AND 5000", "AND 4000") + "SELECT q, s, score, rank FROM found")
 def topk_name(spark, d):
-    docs = _documents(spark, d)
-    ent = docs.where("is_s")
-    e, q = (search.counts(t, search.char_grams(F.col("name"))) for t in (ent, docs.where("NOT is_s")))
-    idf = search.idf_table(e, ent, 1, 50)
-    return search.topk_join(search.tfidf(q, idf), search.tfidf(e, idf), 10)
+    return search.topk_join(*_postings(spark, d, search.char_grams, search.MAX_DF_NAME), 10)
 
 
 @query()
 def topk_bm25(spark, d):
     """Over whole texts; equal ones are one class, so that copies don't count in their terms' document frequency."""
-    docs = _documents(spark, d, None)
+    docs = _documents(spark, d)
     (ent, e_all), (rec, q_all) = (search.text_classes(docs.where(x)) for x in ("is_s", "NOT is_s"))
     e = search.bm25(search.counts(ent, search.words(F.col("name"))), ent)
     q = search.counts(rec, search.words(F.col("name"))).withColumn("w", F.lit(1.0))
