@@ -2,16 +2,17 @@
 
 Every vector is scaled to length one and projected on `DIMS` Gaussian (2-stable) directions: the squared distance of two
 projections, over that of the vectors, is chi-square with `DIMS` degrees of freedom. Each task indexes its rows by a
-kd-tree over the projections and visits leaves in the order of their projected distance from a query, verifying true
-cosines; it stops when a vector closer than the k-th best so far would have come up before with probability `SURE`.
-The best of all tasks are merged. Every row is indexed; there is no fitted part.
+kd-tree over the projections and visits leaves in the order of their projected distance from a query. A vector closer than
+the k-th best so far has a projected distance up to the chi-square quantile times the k-th best's with probability `SURE`:
+leaves and single vectors beyond that are not verified, and the search ends when no leaf is left within it. The best of all
+tasks are merged. Every row is indexed; there is no fitted part. `search` counts the pairs that it verified.
 
 Queries go to the tasks in blocks of at most `QUERIES` vectors, one pass over the rows each, so memory is bounded.
 
 Edge cases: null, zero and non-finite vectors, those with a null component or of another than the most common length,
-and null ids take no part; fewer candidates than k give fewer rows; equal scores go to the smaller vec_id; a repeated
-vec_id is every row of its own but never a candidate of a query of that id; an empty table gives an empty result; extra
-columns are ignored.
+and null ids take no part; fewer candidates than k give fewer rows; equal scores go to the smaller vec_id; of a repeated
+vec_id every row is a query (with a ranking of its own) and a candidate of the others; an empty table gives an empty
+result; extra columns are ignored. The input must read the same twice (files, not a random sample).
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import free_name, with_rid
 from .vectors import SEED, cosine, dimension, matrix, unit
 
 K = 5
-DIMS = 8
-SURE = 0.95
+DIMS = 12
+SURE = 0.9
 LEAF = 128
 QUERIES = 50_000
 #: Rows of one tree.
@@ -80,14 +82,16 @@ class Tree:
         return out
 
 
-def search(qx: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, directions: np.ndarray, limit: float):
-    """(query row, candidate row, cosine) of the k best found for each query."""
+def search(qx: np.ndarray, qrow: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, directions: np.ndarray, limit: float, seen_pairs: list | None = None):
+    """(query, candidate, cosine) of the k best found for each query; qrow and rows tell a query's own row."""
     xu = unit(x)
-    tree = Tree(xu @ directions)
+    px = xu @ directions
+    tree = Tree(px)
     found: list = []
     for lo in range(0, len(qx), 256):
-        q, qids = unit(qx[lo : lo + 256]), qid[lo : lo + 256]
-        bound = tree.bounds(q @ directions)
+        q, own = unit(qx[lo : lo + 256]), qrow[lo : lo + 256]
+        pq = q @ directions
+        bound = tree.bounds(pq)
         turn = np.argsort(bound, axis=1, kind="stable")
         best = np.full((len(q), k), -2.0)
         live = np.arange(len(q))
@@ -101,22 +105,33 @@ def search(qx: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
                 break
             order = np.argsort(leaf, kind="stable")
             cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-            for rows in np.split(order, cuts):
-                a, b = tree.leaves[leaf[rows[0]]]
+            for some in np.split(order, cuts):
+                a, b = tree.leaves[leaf[some[0]]]
                 members = tree.order[a:b]
-                who = live[rows]
-                s = q[who] @ xu[members].T
-                s[ids[members][None, :] == qids[who][:, None]] = -3.0
+                who = live[some]
+                # squared projected distances of the leaf's vectors: those beyond the quantile are left out
+                apart = (pq[who] ** 2).sum(1)[:, None] + (px[members] ** 2).sum(1)[None, :] - 2 * pq[who] @ px[members].T
+                near = apart <= ((2 - 2 * best[who].min(1)) * limit)[:, None] + 1e-9
+                near &= rows[members][None, :] != own[who][:, None]
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                if seen_pairs is not None:
+                    seen_pairs.append(len(i))
+                s = np.full(near.shape, -3.0)
+                if 4 * len(i) > near.size:
+                    s = np.where(near, q[who] @ xu[members].T, s)
+                else:
+                    s[i, j] = np.einsum("ij,ij->i", q[who[i]], xu[members[j]])
                 best[who] = np.partition(np.concatenate([best[who], s], 1), -k, axis=1)[:, -k:]
-                i, j = np.nonzero(s >= best[who].min(1)[:, None] - 1e-9)
-                keep = s[i, j] > -2.5
+                keep = s[i, j] >= best[who[i]].min(1) - 1e-9
                 seen.append((who[i[keep]], members[j[keep]], s[i[keep], j[keep]]))
         if seen:
             who, row, s = map(np.concatenate, zip(*seen))
             ok = s >= best[who].min(1) - 1e-9
             who, row = who[ok], row[ok]
             exact = cosine(qx[lo + who], x[row])
-            order = np.lexsort((ids[row], -exact, who))
+            order = np.lexsort((rows[row], ids[row], -exact, who))
             who, row, exact = who[order], row[order], exact[order]
             rank = np.arange(len(who)) - np.searchsorted(who, who)
             top = rank < k
@@ -124,53 +139,55 @@ def search(qx: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
     return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-SCHEMA = "query_id long, vec_id long, score double"
+SCHEMA = "query long, query_id long, vec_id long, rid long, score double"
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", sure: float = SURE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine for the rows of which `is_query` holds."""
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+    numbered = with_rid(vectors, rid := free_name(vectors, "rid")).where(F.col(id_col).isNotNull())
+    rows = numbered.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), is_query.alias("asks"))
     dim = dimension(rows, "v")
-    queries = rows.where(is_query)
+    queries = rows.where("asks").select("rid", "vec_id", "v")
     blocks = max(1, -(-queries.count() // QUERIES))
     directions = np.random.default_rng(SEED).normal(size=(dim, DIMS))
     limit = chi_square_quantile(sure, DIMS)
     parts = []
     for b in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # at most about QUERIES vectors
+        got = queries.where(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == b).toArrow()  # at most about QUERIES vectors
         at, qx = matrix(got["v"], dim) if len(got) else (np.zeros(0, int), np.zeros((0, dim)))
-        qid = got["vec_id"].to_numpy()[at] if len(at) else np.zeros(0, np.int64)
-        if not len(qid):
+        if not len(at):
             continue
-        held = spark.sparkContext.broadcast((qid, qx))
+        held = spark.sparkContext.broadcast((got["rid"].to_numpy()[at], got["vec_id"].to_numpy()[at], qx))
 
         def run(batches, held=held):
-            qid, qx = held.value
-            x, ids, n = [], [], 0
+            qrow, qid, qx = held.value
+            x, ids, rids, n = [], [], [], 0
 
             def out():
-                w, r, s = search(qx, qid, np.concatenate(x), np.concatenate(ids), k, directions, limit)
-                return pa.RecordBatch.from_arrays([pa.array(qid[w]), pa.array(np.concatenate(ids)[r]), pa.array(s)], ["query_id", "vec_id", "score"])
+                own, names = np.concatenate(rids), np.concatenate(ids)
+                w, r, s = search(qx, qrow, np.concatenate(x), names, own, k, directions, limit)
+                return pa.RecordBatch.from_arrays([pa.array(v) for v in (qrow[w], qid[w], names[r], own[r], s)], ["query", "query_id", "vec_id", "rid", "score"])
 
             for batch in batches:
-                at, m = matrix(batch.column(1), dim)
+                at, m = matrix(batch.column(2), dim)
                 x.append(m)
-                ids.append(batch.column(0).to_numpy()[at])
+                rids.append(batch.column(0).to_numpy()[at])
+                ids.append(batch.column(1).to_numpy()[at])
                 n += len(m)
                 if n >= TREE:
                     yield out()
-                    x, ids, n = [], [], 0
+                    x, ids, rids, n = [], [], [], 0
             if n:
                 yield out()
 
-        parts.append(rows.mapInArrow(run, SCHEMA))
+        parts.append(rows.select("rid", "vec_id", "v").mapInArrow(run, SCHEMA))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "rid")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

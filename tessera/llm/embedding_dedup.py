@@ -11,7 +11,7 @@ is in the README.
 
 Edge cases: null, zero and non-finite vectors, those with a null component and those of another than the most common
 length link with nothing (n_links 0, their own component, kept); so do rows with a null vec_id, whose component is null;
-equal vectors all link; repeated rows count each; an empty table gives an empty result; extra columns are ignored.
+equal vectors all link; repeated rows count each, also where one vec_id stands for different vectors; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import Stored
 from .components import components
-from .vectors import SEED, dimension, matrix, unit
+from .vectors import SEED, cosine, dimension, matrix, unit
 
 #: Classes that the centroids are fitted on, at most.
-SAMPLE = 20_000
-#: Classes for each cell, and cells at most.
-PER_CELL, MOST_CELLS = 200, 1024
+SAMPLE = 40_000
+#: Classes for each cell, and cells at most (what the driver fits and every task holds).
+PER_CELL, MOST_CELLS = 200, 4096
 PROBES = 6
 BLOCK = 2048
 THRESHOLD = 0.9
@@ -74,8 +74,8 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _compare(threshold: float, dim: int):
     def run(key, table):
-        t = table.sort_by([("rep", "ascending")])
-        rep, m, block = (t[c].to_numpy() for c in ("rep", "m", "block"))
+        t = table.sort_by([("cid", "ascending")])
+        rep, m, block = (t[c].to_numpy() for c in ("cid", "m", "block"))
         cells = np.stack(t["cells"].to_numpy())
         x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(-1, dim)
         cell, i, j = (k.as_py() for k in key)
@@ -86,8 +86,13 @@ def _compare(threshold: float, dim: int):
         label = np.arange(len(rep))
         for lo in range(0, len(left), 512):
             mine = left[lo : lo + 512]
-            a, b = np.nonzero(x[mine] @ x[right].T >= threshold - 1e-12)
+            a, b = np.nonzero((near := x[mine] @ x[right].T) >= threshold - 1e-12)
+            close = near[a, b] < threshold + 1e-12
             a, b = mine[a], right[b]
+            if close.any():  # products of blocks round as they please: pairs at the threshold are asked one by one
+                ok = ~close
+                ok[close] = cosine(x[a[close]], x[b[close]]) >= threshold
+                a, b = a[ok], b[ok]
             if i == j:
                 a, b = a[a < b], b[a < b]
             for at in range(0, len(a), 1 << 18):
@@ -120,7 +125,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     read = rows.mapInArrow(keyed, "vec_id long, vec binary").withColumn("vec", F.when(F.col("vec_id").isNotNull(), F.col("vec")))
     keyed_rows = Stored(read.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64("vec", F.lit(SEED))), "vectors").df
-    classes = Stored(keyed_rows.where("vec IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec")), "classes").df
+    grouped = keyed_rows.where("vec IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec"))
+    # a class has a number of its own: the same vec_id may stand for different vectors
+    classes = Stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes").df
     n = classes.count()
     sample = classes.orderBy("k1", "k2").limit(SAMPLE).select("vec").toArrow()["vec"].to_pylist()
     k = max(1, min(MOST_CELLS, n // PER_CELL, len(sample)))
@@ -132,23 +139,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dim)
             s = x @ centres.T
             near = np.sort(np.argpartition(-s, t - 1, axis=1)[:, :t].astype(np.int32), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near), pa.list_(pa.int32())), batch.column(2)], ["rep", "m", "cells", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near), pa.list_(pa.int32())), batch.column(2)], ["cid", "m", "cells", "vec"])
 
-    placed = classes.select("rep", "m", "vec").mapInArrow(assign, "rep long, m long, cells array<int>, vec binary").withColumn("cell", F.explode("cells"))
+    placed = classes.select("cid", "m", "vec").mapInArrow(assign, "cid long, m long, cells array<int>, vec binary").withColumn("cell", F.explode("cells"))
     sizes = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # a row for each cell: at most MOST_CELLS
-    dealt = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    tiles = dealt.withColumn("tile", F.explode(others)).select("cell", "tile.i", "tile.j", "block", "rep", "m", "cells", "vec")
+    tiles = dealt.withColumn("tile", F.explode(others)).select("cell", "tile.i", "tile.j", "block", "cid", "m", "cells", "vec")
     found = Stored(tiles.groupBy("cell", "i", "j").applyInArrow(_compare(threshold, dim), "a long, b long, n long"), "found").df
 
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(found.where("a <> b").select("a", "b"))
-    of_class = (
-        classes.select("k1", "k2", "rep", "m")
-        .join(links.withColumnRenamed("a", "rep"), "rep", "left")
-        .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("k1", "k2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    labelled = (
+        classes.select("k1", "k2", "cid", "rep", "m")
+        .join(links.withColumnRenamed("a", "cid"), "cid", "left")
+        .join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+        .withColumn("component", F.coalesce("component", "cid"))
     )
+    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = labelled.join(least, "component").select("k1", "k2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     live = keyed_rows.where("vec IS NOT NULL").select("vec_id", "k1", "k2").join(of_class, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     idle = keyed_rows.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return live.unionByName(idle).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

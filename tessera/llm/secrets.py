@@ -3,8 +3,10 @@
 Tokens are the text's words; tags are O (outside), B (begins a secret) and I (inside one). A token's score for a tag sums
 weights of its own shape, of its neighbours' shapes and of features of the whole file; with tag-to-tag weights, the best
 path is found by Viterbi. Weights maximise the conditional likelihood (forward-backward gradients) on windows of a
-bounded sample of documents (`SAMPLE`), tagged by the patterns; the features are shapes, so the field also tags tokens
-that no pattern covers.
+bounded sample of documents (`SAMPLE`, `WINDOWS`): windows around the patterns' finds are tagged by the patterns, and into
+windows without finds go made strings, which no pattern covers: random keys (tagged as secrets) and long harmless strings
+such as addresses, dates, paths and joined words (tagged as none). The features are shapes, so the field learns keys of
+other make than the patterns' and than those made. Labels are the patterns' and the makers', never a column.
 
 Where O leads both other tags by more than any two transitions could repay, the best path is in O; chains are cut there,
 which is exact, and only the stretches between are decoded.
@@ -47,6 +49,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Documents that the field is trained on, at most; tokens to each side of a secret in a training window.
 SAMPLE, AROUND = 2000, 8
+#: Training windows, at most (the smallest hashes).
+WINDOWS = 6000
 #: What documents of the sample's first half contain.
 CUES = ("AKIA", "password", "passwd", "secret", "token", "api_key", "apikey")
 DIM = 1 << 12
@@ -161,14 +165,15 @@ class Field:
             self.start[2] = min(self.start[2], -10.0)
         return self
 
-    def viterbi(self, e: np.ndarray, at_start: bool) -> list[int]:
+    def viterbi(self, e: np.ndarray, at_start: bool, before_outside: bool = False) -> list[int]:
+        """Tags of the best path; `before_outside`: a token outside follows."""
         best = e[0] + (self.start if at_start else self.move[0])
         back = []
         for row in e[1:]:
             step = best[:, None] + self.move
             back.append(step.argmax(0))
             best = step.max(0) + row
-        tag = int(best.argmax())
+        tag = int((best + self.move[:, 0] if before_outside else best).argmax())
         out = [tag]
         for b in reversed(back):
             tag = int(b[tag])
@@ -190,7 +195,8 @@ class Field:
         starts = np.zeros(len(e), bool)
         starts[first] = True
         cut = np.flatnonzero((np.diff(live) > 1) | starts[live[1:]]) + 1
-        return [(int(r[0]), self.viterbi(e[r[0] : r[-1] + 1], bool(starts[r[0]]))) for r in np.split(live, cut)]
+        goes_on = np.append(~starts[1:], False)  # the token has a next one in its text
+        return [(int(r[0]), self.viterbi(e[r[0] : r[-1] + 1], bool(starts[r[0]]), bool(goes_on[r[-1]]))) for r in np.split(live, cut)]
 
 
 class Tokens:
@@ -300,32 +306,31 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
 
     def windows(batches):
         for batch in batches:
-            text = text_column(batch)
-            base, _ = scan(text, None)
-            t = Tokens(text)
-            every = np.arange(len(t.codes))
-            a, b = (t.start(every), t.end(every)) if len(every) else (every, every)
-            tag = np.zeros(len(every), np.int64)
-            for d, spans in enumerate(base):
-                lo, hi = t.offsets[d], t.offsets[d + 1]
-                for x, y, _ in spans:
-                    i, j = lo + np.searchsorted(b[lo:hi], x, side="right"), lo + np.searchsorted(a[lo:hi], y, side="left")
-                    if i < j and not tag[i]:
-                        tag[i] = 1
-                        tag[i + 1 : j] = 2
-            hit = np.flatnonzero(tag == 1)
-            h = batch.column(1).to_numpy()
-            for d in range(len(text)):
-                lo, hi = int(t.offsets[d]), int(t.offsets[d + 1])
-                if lo == hi:
-                    continue
-                centres = [int(c) for c in hit[np.searchsorted(hit, lo) : np.searchsorted(hit, hi)][:2]] + [lo + int(h[d] % (hi - lo))]
-                for c in centres:
-                    p, q = max(lo, c - AROUND), min(hi, c + AROUND + 1)
-                    words = t.words.slice(p, q - p).to_pylist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([[w[:200] for w in words]]), pa.array([tag[p:q].tolist()], pa.list_(pa.int32())), pa.array([int(t.file[d])], pa.int32())], ["words", "tags", "file"]
-                    )
+            whole, hashes = text_column(batch), batch.column(1).to_numpy()
+            for at, stop in byte_slices(whole):
+                text, h = pa.concat_arrays([whole.slice(at, stop - at)]), hashes[at:stop]
+                base, _ = scan(text, None)
+                t = Tokens(text)
+                every = np.arange(len(t.codes))
+                a, b = (t.start(every), t.end(every)) if len(every) else (every, every)
+                tag = np.zeros(len(every), np.int64)
+                for d, spans in enumerate(base):
+                    lo, hi = t.offsets[d], t.offsets[d + 1]
+                    for x, y, _ in spans:
+                        i, j = lo + np.searchsorted(b[lo:hi], x, side="right"), lo + np.searchsorted(a[lo:hi], y, side="left")
+                        if i < j and not tag[i]:
+                            tag[i] = 1
+                            tag[i + 1 : j] = 2
+                hit = np.flatnonzero(tag == 1)
+                for d in range(len(text)):
+                    lo, hi = int(t.offsets[d]), int(t.offsets[d + 1])
+                    if lo == hi:
+                        continue
+                    for c in [*hit[np.searchsorted(hit, lo) : np.searchsorted(hit, hi)].tolist(), lo + int(h[d] % (hi - lo))]:
+                        p, q = max(lo, c - AROUND), min(hi, c + AROUND + 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([t.feats[t.codes[p:q]].ravel().tolist()], pa.list_(pa.int32())), pa.array([tag[p:q].tolist()], pa.list_(pa.int32())), pa.array([int(t.file[d])], pa.int32())], ["feats", "tags", "file"]
+                        )
 
     def least(x: bool) -> DataFrame:
         """The rows of the smallest hashes; a bound from the hashes alone comes first, so that few texts travel."""
@@ -334,23 +339,63 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
         return mine.where(F.col("h") <= F.lit(bound).cast("long")).orderBy("h").limit(sample // 2).select("text", "h")
 
     parts = [least(x) for x in (True, False)]
-    got = parts[0].unionByName(parts[1]).mapInArrow(windows, "words array<string>, tags array<int>, file int").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["words"], r["tags"], r["file"]))
-    got = [r for r in got if r["words"] and not (r["tags"][0] == 2)]
-    if not any(1 in r["tags"] for r in got):
+    found = parts[0].unionByName(parts[1]).mapInArrow(windows, "feats array<int>, tags array<int>, file int")
+    got = found.orderBy(F.xxhash64("feats", "tags", "file")).limit(WINDOWS).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["feats"], r["tags"], r["file"]))
+    got = [(np.array(r["feats"], np.int64).reshape(-1, 9), r["tags"], r["file"]) for r in got if r["tags"] and r["tags"][0] != 2]
+    if not got:
         return Field()
-    vocabulary = pa.array(sorted({w for r in got for w in r["words"]}), pa.large_string())
-    code = {w: k for k, w in enumerate(vocabulary.to_pylist())}
-    feats = np.concatenate([word_features(vocabulary), np.full((1, 9), DIM - 1)])
-    width, none = 2 * AROUND + 1, len(vocabulary)
-    codes = np.full((len(got), width + 2), none)
+    got += made_windows(got)
+    width = 2 * AROUND + 1
+    feats = np.full((len(got), width + 2, 9), DIM - 1)
     y, valid = np.zeros((len(got), width), np.int64), np.zeros((len(got), width), bool)
-    for k, r in enumerate(got):
-        n = len(r["words"])
-        codes[k, 1 : n + 1] = [code[w] for w in r["words"]]
-        y[k, :n], valid[k, :n] = r["tags"], True
-    x = np.stack([feats[codes[:, 1:-1]], feats[codes[:, :-2]], feats[codes[:, 2:]]], 2)
-    return Field().fit(x, np.array([r["file"] for r in got]), y, valid)
+    for k, (f, tags, _) in enumerate(got):
+        feats[k, 1 : len(f) + 1] = f
+        y[k, : len(f)], valid[k, : len(f)] = tags, True
+    x = np.stack([feats[:, 1:-1], feats[:, :-2], feats[:, 2:]], 2)
+    return Field().fit(x, np.array([w[2] for w in got]), y, valid)
+
+
+_LOWER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = (_LOWER + _LOWER.upper() + _DIGIT, _LOWER + _LOWER.upper() + _DIGIT + "+/", _LOWER + _LOWER.upper() + _DIGIT + "-_", _LOWER.upper() + _DIGIT, _LOWER + _DIGIT)
+
+
+def made_key(rng) -> str:
+    """A random string of a random alphabet, at times in dotted parts, behind a short prefix or ended like base64."""
+    letters = _ALPHABETS[rng.integers(len(_ALPHABETS))]
+    parts = 1 if rng.random() < 0.8 else int(rng.integers(2, 4))
+    key = ".".join("".join(rng.choice(list(letters), int(rng.integers(16, 49)))) for _ in range(parts))
+    if rng.random() < 0.5:
+        key = "".join(rng.choice(list(_LOWER), int(rng.integers(2, 5)))) + "_-."[rng.integers(3)] + key
+    return key + "=" * int(rng.integers(3)) if "+" in letters else key
+
+
+def made_harmless(rng, words: list[str]) -> str:
+    """A long string that is no secret: addresses, dates, paths, numbers, joined or shouted words."""
+    w = [words[int(k)] for k in rng.integers(len(words), size=4)]
+    n = [int(k) for k in rng.integers(1, 3000, size=4)]
+    kinds = (
+        f"https://www.{w[0]}.com/{w[1]}/{n[0]}?{w[2]}={n[1]}", f"{w[0]}.{w[1]}@{w[2]}.org", f"20{n[0] % 100:02}-{n[1] % 12 + 1:02}-{n[2] % 28 + 1:02}T{n[3] % 24:02}:{n[0] % 60:02}:{n[1] % 60:02}Z",
+        f"/{w[0]}/{w[1]}/{w[2]}.html", "".join(w), "-".join(w), "_".join(w).upper() + "!!", "".join(x.title() for x in w), f"+{n[0]}-{n[1]}-{n[2]}", f"{n[0]},{n[1]:03}.{n[2] % 100:02}", f"{w[0]}{n[0]}", f"({w[0].upper()})", f"v{n[0] % 9}.{n[1] % 20}.{n[2] % 50}-{w[0]}",
+    )
+    return kinds[int(rng.integers(len(kinds)))]
+
+
+def made_windows(windows: list) -> list:
+    """Windows without finds again, once with a made key and twice with a harmless string in place of one word."""
+    rng = np.random.default_rng(20240229)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    words = ["".join(rng.choice(syllables, int(rng.integers(2, 5)))) for _ in range(300)]
+    out = []
+    for feats, tags, file in windows:
+        if any(tags):
+            continue
+        strings = [made_key(rng), made_harmless(rng, words), made_harmless(rng, words)]
+        for k, new in enumerate(word_features(pa.array(strings, pa.large_string()))):
+            f, at = feats.copy(), int(rng.integers(len(feats)))
+            f[at] = new
+            out.append((f, [int(i == at and k == 0) for i in range(len(feats))], file))
+    return out
 
 
 def joined(spans) -> str:

@@ -8,7 +8,8 @@ Counts are aggregated by host before any join, so a hot host is one row; the joi
 skewed partitions Spark can split (or whose host side it broadcasts if its measured size allows).
 
 Edge cases: a null url, or one without `://`, has an empty host and path and is judged like a host of its own; an
-unlabelled host gets its domain's mean; repeated outcomes of a page count once (bad wins); null outcomes count as
+unlabelled host gets its domain's mean; user and port stay in the host and don't count for its domain; urls of any length
+are read whole; repeated outcomes of a page count once (bad wins); null outcomes count as
 unlabelled; empty tables give empty results; extra columns are ignored.
 """
 
@@ -21,7 +22,7 @@ from .common import Stored
 
 #: (verdict, host, path), as the contract fixes them.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Suffixes of two labels; any other suffix is the last label.
+#: Public suffixes of two labels, unless the caller gives a list; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.mx")
 MOST_BAD = 0.2
 #: One-sided normal quantile of the bound.
@@ -40,14 +41,19 @@ def path_of(url) -> F.Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host) -> F.Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def bare_host(host) -> F.Column:
+    """The host without user and port, as domain and suffix are taken from it."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host) -> F.Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host, suffixes=TWO_LABEL_SUFFIXES) -> F.Column:
+    two = F.substring_index(bare_host(host), ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(bare_host(host), ".", -1))
+
+
+def domain_of(host, suffixes=TWO_LABEL_SUFFIXES) -> F.Column:
+    two = F.substring_index(bare_host(host), ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(bare_host(host), ".", -3)).otherwise(two)
 
 
 def ruled(rules=RULES) -> tuple[F.Column, F.Column]:
@@ -76,9 +82,9 @@ def _level(groups: DataFrame, prior: F.Column) -> DataFrame:
     return g.withColumn("weight", F.lit(float(weight))).withColumn("mean", (F.col("y") + F.col("weight") * F.col("prior")) / (F.col("n") + F.col("weight")))
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
+def reputation(hosts: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """host, n, y -> host, mean, bound."""
-    hosts = Stored(hosts.select("host", "n", "y", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts").df
+    hosts = Stored(hosts.select("host", "n", "y", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix")), "hosts").df
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     whole = suffixes.agg(F.coalesce((F.sum("y") + 1) / (F.sum("n") + 2), F.lit(0.5)).alias("all_mean")).first()["all_mean"]
@@ -89,8 +95,8 @@ def reputation(hosts: DataFrame) -> DataFrame:
     return out.select("host", "mean", (F.col("mean") - Z * spread).alias("bound"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """pages (page_id, url), outcomes (page_id, bad 0/1) -> page_id, host, path, rule, verdict, bad_bound."""
+def judged(pages: DataFrame, outcomes: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
+    """pages (page_id, url), outcomes (page_id, bad 0/1), two-label public suffixes -> page_id, host, path, rule, verdict, bad_bound."""
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     seen = p.select("page_id", "host").join(known, "page_id")
@@ -101,7 +107,7 @@ def judged(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
     rule, verdict = ruled()
     own = F.when(F.col("bound") > MOST_BAD, "block").otherwise("allow")
-    return p.join(reputation(hosts), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bound", 6).alias("bad_bound"))
+    return p.join(reputation(hosts, suffixes), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bound", 6).alias("bad_bound"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +121,7 @@ def _sql() -> str:
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h + p}'" for f, (_, h, p) in zip(fits, rules)) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules)) + f" WHEN bound > {MOST_BAD} THEN 'block' ELSE 'allow' END"
-    last = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
+    last = lambda k: f"array_to_string(list_slice(string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.'), -{k}, -1), '.')"
     two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 
     def level(name: str, rows: str, prior: str) -> str:
