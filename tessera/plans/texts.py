@@ -200,7 +200,7 @@ def alias(spark, d):
     raw = _raw(spark, d)
     mark = F.element_at(F.array(F.lit(" d/b/a "), F.lit(" aka ")), (F.col("p_size") % 2 + 1).cast("int"))
     text = F.when(F.col("p_partkey") % 3 == 0, F.col("name")).otherwise(F.concat("name", mark, "p_name"))
-    return raw.select("p_partkey", C.after_alias(text).alias("name"))
+    return raw.select("p_partkey", C.drop_alias(text).alias("name"))
 
 
 @query(_RAW_SQL + "SELECT p_partkey, p_partkey % 5 = 0 AS is_domain, p_partkey % 5 = 1 AS has_alias, p_partkey % 5 = 2 AS nonlatin, p_partkey % 5 = 3 AS missing, CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', '-') ELSE '' END AS domain FROM raw")
