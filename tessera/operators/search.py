@@ -16,10 +16,17 @@ from ..sources import tables
 MAX_DF_NAME, MAX_DF_WORD, MIN_DF, MAX_BLOCK = 4000, 5000, 2, 50
 
 
+def _runs(items: Column, n: int, between: str) -> Column:
+    """All runs of n neighbours joined to one text: the array is laid beside itself n times, in time linear in its length."""
+    out = items
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(items, k + 1, F.greatest(F.size(items) - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(between), b))
+    return F.filter(out, lambda t: t.isNotNull())
+
+
 def char_grams(col: Column, n: int = 3) -> Column:
     """Character n-grams of the text padded by a blank on either side."""
-    padded = F.concat(F.lit(" "), col, F.lit(" "))
-    return F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return _runs(F.filter(F.split(F.concat(F.lit(" "), col, F.lit(" ")), ""), lambda c: c != ""), n, "")
 
 
 def words(col: Column) -> Column:
@@ -29,8 +36,7 @@ def words(col: Column) -> Column:
 def word_grams(col: Column) -> Column:
     """Words and pairs of neighbouring words."""
     w = words(col)
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
+    return F.concat(w, _runs(w, 2, " "))
 
 
 def initials(col: Column) -> Column:
