@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from tessera.operators import search, sparse
-from tessera.plans import registry
+from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,6 +81,6 @@ def no_pairs_by_term(df):
     return "term#" not in df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["entity_linkage"])
+@pytest.mark.parametrize("name", ["entity_linkage", "page_name"])
 def test_no_scored_pairs_are_shuffled(spark, name):
-    assert no_pairs_by_term(registry.QUERIES[name](spark, SF))
+    assert no_pairs_by_term(catalog.QUERIES[name](spark, SF))
