@@ -81,6 +81,6 @@ def no_pairs_by_term(df):
     return "term#" not in df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["entity_linkage", "page_name", "blocking_union"])
+@pytest.mark.parametrize("name", ["entity_linkage", "page_name", "blocking_union", "topk_segk"])
 def test_no_scored_pairs_are_shuffled(spark, name):
     assert no_pairs_by_term(catalog.QUERIES[name](spark, SF))
