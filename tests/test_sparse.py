@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import search, sparse
 from tessera.plans import catalog
@@ -81,6 +82,15 @@ def no_pairs_by_term(df):
     return "term#" not in df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["entity_linkage", "page_name", "blocking_union", "topk_segk"])
+@pytest.mark.parametrize("name", ["entity_linkage", "page_name", "blocking_union", "topk_segk", "topk_bm25"])
 def test_no_scored_pairs_are_shuffled(spark, name):
     assert no_pairs_by_term(catalog.QUERIES[name](spark, SF))
+
+
+def test_bm25_in_blocks_equals_the_join_on_terms(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "BLOCK", 60)
+    docs = spark.createDataFrame([x for x in made() if x[0] and x[1] != 1000], "country string, id long, name string, is_s boolean")
+    ent, rec = (docs.where(x).drop("is_s") for x in ("is_s", "NOT is_s"))
+    w = search.bm25(search.counts(ent, search.words(F.col("name"))), ent, max_df=12)
+    want = search.topk_join(search.counts(rec, search.words(F.col("name"))).withColumn("w", F.lit(1.0)), w, 5)
+    same(search.topk_bm25(rec, ent, 5, 12), {(r.q, r.s): (r.score, r["rank"]) for r in want.collect()})
