@@ -82,7 +82,7 @@ def no_pairs_by_term(df):
     return "term#" not in df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["entity_linkage", "page_name", "blocking_union", "topk_segk", "topk_bm25", "topk_name", "recall_at_k"])
+@pytest.mark.parametrize("name", ["entity_linkage", "page_name", "blocking_union", "topk_segk", "topk_bm25", "topk_name", "recall_at_k", "topk_comb"])
 def test_no_scored_pairs_are_shuffled(spark, name):
     assert no_pairs_by_term(catalog.QUERIES[name](spark, SF))
 
