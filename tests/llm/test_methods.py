@@ -65,6 +65,33 @@ def test_lm_cells_of_one_step_sum_to_one():
     assert total == pytest.approx(1)
 
 
+def test_lm_cells_learn_and_score_in_stripes_as_in_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["the", "of", "red", "apple", "tree", "stone"]
+    counts = {k: [3, *rng.integers(1, 20, 6).tolist()] for k in lm_score._CLASS_COLUMNS}
+    lex = lm_score.Lexicon(pa.table({"word": ["", *words], "c": np.sum(list(counts.values()), 0)} | counts), 2)
+    lessons = [" ".join(rng.choice([*words, "unseen"], 90)) for _ in range(6)]
+    tokens, got = pa.array(lessons, pa.large_string()), []
+    for stripe in (1 << 20, 7):
+        monkeypatch.setattr(lm_score, "STRIPE", stripe)
+        model = lm_score.Cells(12)
+        for _ in range(4):
+            model.learn(lm_score.Tokens(tokens, lex, learning=True))
+        t = lm_score.Tokens(tokens, lex)
+        got.append((model.weights, *model.counts, t.z, lm_score.Cells(12, [c.copy() for c in model.counts], model.weights).log10(t)))
+    for a, b in zip(*got):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+    # one step against plain sums over the tokens of a gate
+    model, t = lm_score.Cells(12), lm_score.Tokens(tokens, lex, learning=True)
+    model.learn(t)
+    first, j = lm_score.Cells.first_weights(), 2
+    x, bit = np.array([0, 0, 0, 0, 1.0]), (t.cell >> (lm_score.DEPTH - 1 - j)) & 1  # nothing is counted yet
+    p = 1 / (1 + math.exp(-x @ first[j]))
+    curve, slope = len(bit) * p * (1 - p) * np.outer(x, x), (bit - p).sum() * x
+    ridge = np.eye(5) * (0.01 * np.trace(curve) / 5 + 1)
+    assert np.allclose(model.weights[j], np.clip(first[j] + 0.5 / 1.25 * np.linalg.solve(curve + ridge, slope), -3, 3))
+
+
 def test_viterbi_and_gradient_against_enumeration():
     rng = np.random.default_rng(2)
     field = secrets.Field()
