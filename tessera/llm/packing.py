@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .bpe import default_tokenizer, encoder, steps
-from .common import small_batches
+from .common import byte_slices, settle, small_batches
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -32,6 +32,8 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Full-length windows that a step group holds the tokens of.
 STEP_WINDOWS = 64
+#: Bytes of text encoded at a time; a run is packed whole.
+ENCODED_BYTES = 1 << 20
 
 SCHEMA = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group")]
@@ -117,6 +119,23 @@ class StepGroups:
         return out
 
 
+def _closed(enc, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, each with its end, and how many each has; encoded in parts, of which only the ids are kept."""
+    ids, sizes = [], []
+    for at, end in byte_slices(text, ENCODED_BYTES):
+        got, offsets = enc.batch(text.slice(at, end - at))
+        n = np.diff(offsets) + 1
+        inside = np.ones(len(got) + len(n), bool)
+        inside[np.cumsum(n) - 1] = False
+        part = np.full(len(inside), end_id, np.uint32)
+        part[inside] = got
+        ids.append(part)
+        sizes.append(n)
+        del got, offsets, inside
+        settle()
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, tiers=TIERS, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence."""
     path = tokenizer or default_tokenizer()
@@ -127,10 +146,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
         n_seq, groups_of = 0, StepGroups(STEP_WINDOWS * window)
         with encoder(path, "merges") as enc:
             for doc_id, text in steps(batches):
-                ids, offsets = enc.batch(text)
-                sizes = np.diff(offsets) + 1
-                closed = np.full(len(ids) + len(text), end_id, np.uint32)
-                closed[np.arange(len(ids)) + np.repeat(np.arange(len(text)), sizes - 1)] = ids
+                closed, sizes = _closed(enc, text, end_id)
                 begin = np.concatenate([[0], np.cumsum(sizes)])
                 pieces, windows = pack(sizes, window, tiers)
                 groups = np.array(groups_of.add(windows), np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, small_batches, spans_of, text_column
+from .common import byte_slices, settle, small_batches, spans_of, text_column
 
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -254,11 +254,15 @@ def left_over(a: int, b: int, spans: list[tuple[int, int, str]], text: str) -> l
     return out
 
 
+#: Bytes of text scanned at a time.
+SCANNED = 1 << 20
+
+
 def scan(text: pa.Array, field: Field | None) -> tuple[list[list], list[list]]:
-    """Base spans and added spans (start, end, kind) of each text, a few megabytes at a time."""
+    """Base spans and added spans (start, end, kind) of each text, a megabyte at a time."""
     base: list[list] = []
     added: list[list] = []
-    for lo, end in byte_slices(text):
+    for lo, end in byte_slices(text, SCANNED):
         b, a = _scan(pa.concat_arrays([text.slice(lo, end - lo)]), field)
         base += b
         added += a
@@ -446,6 +450,8 @@ def redacted(docs: DataFrame, field: Field, mark: str = "[SECRET]", length: str
             if length:
                 columns[names.index(length)] = pa.array(sizes, columns[names.index(length)].type)
             yield pa.RecordBatch.from_arrays(columns, names)
+            del batch, text, base, added, columns, change, new, sizes
+            settle()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, common, components, embedding_dedup, lm_score, ngram_join, secrets, suffix_dedup, toxicity, url_filter
+from tessera.llm import ann, bpe, common, components, embedding_dedup, lm_score, ngram_join, packing, secrets, suffix_dedup, toxicity, url_filter
 from tessera.llm.vectors import SEED
 
 from .test_operators import prose, tokens
@@ -92,6 +92,21 @@ def test_lm_cells_learn_and_score_in_stripes_as_in_one(monkeypatch):
     assert np.allclose(model.weights[j], np.clip(first[j] + 0.5 / 1.25 * np.linalg.solve(curve + ridge, slope), -3, 3))
 
 
+def test_packing_encodes_a_run_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = pa.array(["", *(" ".join(rng.choice(["the", "stone", "über", "42", "x" * 40], int(n))) for n in rng.integers(0, 60, 40)), "é" * 900], pa.large_string())
+    monkeypatch.setattr(packing, "ENCODED_BYTES", 500)
+    seen = []
+    with bpe.encoder(bpe.default_tokenizer(), "merges") as enc:
+        whole, offsets = enc.batch(text)
+        batch = enc.batch
+        monkeypatch.setattr(enc, "batch", lambda t: seen.append(t) or batch(t))
+        ids, sizes = packing._closed(enc, text, 1)
+    assert len(seen) > 5 and all(len(t) == 1 or sum(len(x.as_py().encode()) for x in t) <= 500 for t in seen)
+    assert sizes.tolist() == (np.diff(offsets) + 1).tolist()
+    assert ids.tolist() == [x for a, b in zip(offsets, offsets[1:]) for x in [*whole[a:b].tolist(), 1]]
+
+
 def test_viterbi_and_gradient_against_enumeration():
     rng = np.random.default_rng(2)
     field = secrets.Field()
