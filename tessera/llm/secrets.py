@@ -96,6 +96,7 @@ def word_features(words: pa.Array) -> np.ndarray:
     share = lambda x: np.minimum(4, (x * 4 + size - 1) // size)
     mixed = (digit > 0).astype(np.int64) + 2 * (upper > 0) + 4 * (lower > 0) + 8 * (sign > 0)
     change = np.diff(_CLASSES[0][data], prepend=0) != 0
+    change[offsets[:-1][np.diff(offsets) > 0]] = False  # the byte before a word is another word's
     changes = np.minimum(7, np.diff(np.concatenate([[0], np.cumsum(change)])[offsets]))
     key = pc.match_substring_regex(words, _KEYS).to_numpy(zero_copy_only=False).astype(np.int64)
     last = data[np.minimum(np.maximum(offsets[1:] - 1, 0), len(data) - 1)].astype(np.int64)

@@ -107,6 +107,26 @@ def test_packing_encodes_a_run_in_parts(monkeypatch):
     assert ids.tolist() == [x for a, b in zip(offsets, offsets[1:]) for x in [*whole[a:b].tolist(), 1]]
 
 
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    words = ["a1", "2b", "x", "", "7", "9z9"]
+    alone = [secrets.word_features(pa.array([w], pa.large_string()))[0].tolist() for w in words if w]
+    for order in (words, words[::-1]):
+        got = dict(zip(order, secrets.word_features(pa.array(order, pa.large_string())).tolist()))
+        assert [got[w] for w in words if w] == alone
+
+
+def test_secrets_found_in_parts_as_in_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    field = secrets.Field()
+    field.w = rng.normal(0, 0.5, field.w.shape)
+    text = pa.array([" ".join("".join(rng.choice(list("ab19Z="), 4)) for _ in range(30)) for _ in range(40)], pa.large_string())
+    got = []
+    for n in (1 << 20, 400):
+        monkeypatch.setattr(secrets, "SCANNED", n)
+        got.append(secrets.scan(text, field))
+    assert got[0] == got[1]
+
+
 def test_viterbi_and_gradient_against_enumeration():
     rng = np.random.default_rng(2)
     field = secrets.Field()
