@@ -28,19 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Stored, mix64, n_parts, text_column, with_rid
+from .common import Rolling, Stored, mix64, n_parts, settle, text_column, with_rid
 
 LENGTH = 200
 WINDOW = 100
 GRAM = 16
 RANKED = LENGTH - WINDOW + 1
-#: Bytes that are hashed at a time; a position fits in 24 bits.
-SLICE = 2 << 20
+#: Bytes that are hashed at a time (a worker holds about a hundred times as many); a position fits in 24 bits.
+SLICE = 512 << 10
+#: Bytes of texts whose starts travel together.
+PACKED = 2 << 20
 SPREAD = 4
 WHOLE, ENDS, WHOLE_ENDS = 0, 1, 2
 
 
-def slices(batch, most: int = SLICE):
+def slices(batch, most: int):
     """(first row, bytes, offsets) of consecutive texts of at most `most` bytes together; a longer text comes in overlapping parts.
 
     A part of a long text is (row, bytes, offsets, shift): starts are counted from shift, and parts overlap by LENGTH - 1.
@@ -100,25 +102,38 @@ def covers(data: np.ndarray, offsets: np.ndarray):
 _PACKED = "part int, rank binary, around binary, c binary, rid binary, i0 binary, runs binary"
 
 
+def _dealt(rids: np.ndarray, found: list, pieces: int) -> pa.RecordBatch:
+    """Starts by destination: one row for each piece that has any."""
+    row, i0, runs, rank, around = map(np.concatenate, zip(*found))
+    part = (rank % np.uint64(pieces)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, row, i0, runs, rank, around = part[order], row[order], i0[order], runs[order], rank[order], around[order]
+    at = np.searchsorted(part, np.arange(pieces + 1))
+    rows = [[] for _ in range(7)]
+    for k in np.flatnonzero(np.diff(at)):
+        s = slice(at[k], at[k + 1])
+        who, index = np.unique(row[s], return_inverse=True)
+        for r, v in zip(rows, (k, rank[s].tobytes(), around[s].tobytes(), index.astype(np.uint32).tobytes(), rids[who].tobytes(), i0[s].tobytes(), runs[s].tobytes())):
+            r.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "rank", "around", "c", "rid", "i0", "runs"])
+
+
 def _emit(pieces: int):
     def run(batches):
         for batch in batches:
             rids = batch.column(0).to_numpy()
-            for row, data, offsets, shift in slices(batch):
+            found, held = [], 0
+            for row, data, offsets, shift in slices(batch, SLICE):
                 doc, i0, i1, _, rank, around = covers(data, offsets)
-                if not len(doc):
-                    continue
-                part = (rank % np.uint64(pieces)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                part, doc, i0, i1, rank, around = part[order], doc[order], i0[order], i1[order], rank[order], around[order]
-                at = np.searchsorted(part, np.arange(pieces + 1))
-                rows = [[] for _ in range(7)]
-                for k in np.flatnonzero(np.diff(at)):
-                    s = slice(at[k], at[k + 1])
-                    who, index = np.unique(doc[s], return_inverse=True)
-                    for r, v in zip(rows, (k, rank[s].tobytes(), around[s].tobytes(), index.astype(np.uint32).tobytes(), rids[row + who].tobytes(), (i0[s] + shift).astype(np.int64).tobytes(), (i1[s] - i0[s]).astype(np.uint8).tobytes())):
-                        r.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "rank", "around", "c", "rid", "i0", "runs"])
+                held += len(data)
+                if len(doc):
+                    found.append((row + doc, i0 + shift, (i1 - i0).astype(np.uint8), rank, around))
+                if found and held >= PACKED:
+                    yield _dealt(rids, found, pieces)
+                    found, held = [], 0
+            if found:
+                yield _dealt(rids, found, pieces)
+            settle()
 
     return run
 

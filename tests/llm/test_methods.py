@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -205,6 +206,33 @@ def test_suffix_dedup_of_long_texts_in_slices(spark, monkeypatch, tmp_path):
     assert got == {1: 450, 2: 450, 3: 0, 4: 0, 5: 200}
 
 
+def test_suffix_starts_of_a_slice_at_a_time_travel_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefgh "))
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array(range(7, 807)), "text": pa.array(["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 6000, 800)])})
+
+    def starts(out):
+        runs = set()
+        for b in out:
+            for r in b.to_pylist():
+                rid = np.frombuffer(r["rid"], np.int64)[np.frombuffer(r["c"], np.uint32)]
+                columns = (np.frombuffer(r[k], t) for k, t in (("rank", np.uint64), ("around", np.uint64), ("i0", np.int64), ("runs", np.uint8)))
+                runs |= set(zip([r["part"]] * len(rid), rid.tolist(), *(c.tolist() for c in columns)))
+        return runs
+
+    tracemalloc.start()
+    out = list(suffix_dedup._emit(8)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, out)) <= 2 * 8 and most < 100e6  # two rows for each destination
+    got = [starts(out)]
+    for n in (8 << 20, 7000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", n)
+        monkeypatch.setattr(suffix_dedup, "PACKED", 2 * n)
+        got.append(starts(suffix_dedup._emit(8)(iter([batch]))))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10000
+
+
 def test_nearest_over_several_trees_with_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(ann, "TREE", 60)
     rng = np.random.default_rng(5)
