@@ -118,6 +118,16 @@ def _dealt(rids: np.ndarray, found: list, pieces: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["part", "rank", "around", "c", "rid", "i0", "runs"])
 
 
+def _settled(run):
+    """`run`, which gives its memory back when a task is over: a worker keeps it for the next stage otherwise."""
+
+    def settled(batches):
+        yield from run(batches)
+        settle()
+
+    return settled
+
+
 def _emit(pieces: int):
     def run(batches):
         for batch in batches:
@@ -261,7 +271,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     wide = [f"c{k}" for k in range(len(names))]  # names of the input clash with nothing
     rowed = with_rid(docs.toDF(*wide))
     packed = rowed.select("rid", F.col(wide[at]).alias("text")).mapInArrow(_emit(parts * SPREAD), _PACKED)
-    found = packed.repartition(parts, "part").mapInArrow(_buckets, "rid long, i0 long, i1 long, rank long, state int")
+    found = packed.repartition(parts, "part").mapInArrow(_settled(_buckets), "rid long, i0 long, i1 long, rank long, state int")
     item = F.struct("i0", "i1", "rank", "state")
     of_doc = Stored(
         found.groupBy("rid").agg(
@@ -270,8 +280,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         "runs",
     ).df
     # both joins take the same columns of the texts, so that one exchange serves them; sides are merged, as their size follows the data
-    strings = rowed.join(of_doc.where(F.size("open") > 0).select("rid", "open").hint("merge"), "rid").select("rid", *wide, "open").mapInArrow(_strings(wide[at]), "rank long, rid long, i0 long, open boolean, h binary")
-    ends = strings.repartition(parts, "rank").mapInArrow(_ends, "rid long, i0 long, i1 long").groupBy("rid").agg(F.collect_list(F.struct("i0", "i1")).alias("more"))
+    strings = rowed.join(of_doc.where(F.size("open") > 0).select("rid", "open").hint("merge"), "rid").select("rid", *wide, "open").mapInArrow(_settled(_strings(wide[at])), "rank long, rid long, i0 long, open boolean, h binary")
+    ends = strings.repartition(parts, "rank").mapInArrow(_settled(_ends), "rid long, i0 long, i1 long").groupBy("rid").agg(F.collect_list(F.struct("i0", "i1")).alias("more"))
 
     extra = {f.name for f in _RESULT}
     keep = [k for k, c in enumerate(names) if c not in extra]
@@ -293,7 +303,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     marked = rowed.join(of_doc.select("rid", "runs").hint("merge"), "rid", "left").join(ends.hint("merge"), "rid", "left")
-    return marked.select(*wide, "runs", "more").mapInArrow(finish, schema)
+    return marked.select(*wide, "runs", "more").mapInArrow(_settled(finish), schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

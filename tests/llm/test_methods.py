@@ -233,6 +233,21 @@ def test_suffix_starts_of_a_slice_at_a_time_travel_together(monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) > 10000
 
 
+def test_suffix_tasks_give_their_memory_back(monkeypatch):
+    seen = []
+
+    class Held:
+        def __del__(self):
+            seen.append("freed")
+
+    def run(batches):
+        held = Held()  # noqa: F841
+        yield from batches
+
+    monkeypatch.setattr(suffix_dedup, "settle", lambda: seen.append("settled"))
+    assert list(suffix_dedup._settled(run)(iter([1, 2]))) == [1, 2] and seen == ["freed", "settled"]
+
+
 def test_nearest_over_several_trees_with_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(ann, "TREE", 60)
     rng = np.random.default_rng(5)
