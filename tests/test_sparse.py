@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,18 @@ def test_bm25_in_blocks_equals_the_join_on_terms(spark, monkeypatch):
     w = search.bm25(search.counts(ent, search.words(F.col("name"))), ent, max_df=12)
     want = search.topk_join(search.counts(rec, search.words(F.col("name"))).withColumn("w", F.lit(1.0)), w, 5)
     same(search.topk_bm25(rec, ent, 5, 12), {(r.q, r.s): (r.score, r["rank"]) for r in want.collect()})
+
+
+def test_page_name_finds_by_grams_of_many_entities_and_of_one(spark, tmp_path):
+    """All grams of the first records are in more entities than MAX_DF_NAME, the second's in one."""
+    names = {4 * k: "same" for k in range(search.MAX_DF_NAME + 8)} | {40_000: "sameother", 40_004: "quick", 1: "same", 2: "quick", 3: "Other, same", 5: ""}
+    rows = [(i, "http://a.example/b", f'<html lang="en"><title>{t}</title>') for i, t in names.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = catalog.QUERIES["page_name"](spark, str(tmp_path))
+    got = {(r.q, r.s): (r.score, r["rank"]) for r in found.collect()}
+    assert got == {(q, s): got[q, s] for q, s in [*((q, 4 * k) for q in (1, 3) for k in range(10 if q == 1 else 9)), (2, 40_004), (3, 40_000)]}
+    assert [got[1, 4 * k][1] for k in range(10)] == [*range(1, 11)] and got[2, 40_004] == (1.0, 1) and got[3, 40_000][1] == 1
+    same(found, brute([("en", i, t.replace(", ", "").lower(), i % 4 == 0) for i, t in names.items()], "char_grams", 10, 1, len(names)))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {(q, s): (x, r) for q, s, x, r in con.sql(catalog.ORACLE_SQL["page_name"]).select("q, s, score, rank").fetchall()} == got
